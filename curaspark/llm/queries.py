@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from curaspark.llm import minhash
+from curaspark.llm import minhash, substring
 from curaspark.llm.common import table
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.repeated_substrings_cut(table(spark, sf_dir, "documents"), window=50)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
-QUERIES = {"op10_minhash": op10_minhash}
+QUERIES = {"op7_substring": op7_substring, "op10_minhash": op10_minhash}
 
 ORACLE: dict[str, str] = {}
