@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import minhash, substring
+from curaspark.llm import minhash, packing, substring
 from curaspark.llm.common import table
 
 
@@ -14,10 +15,14 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
-QUERIES = {"op7_substring": op7_substring, "op10_minhash": op10_minhash}
+QUERIES = {"op7_substring": op7_substring, "op9_packing": op9_packing, "op10_minhash": op10_minhash}
 
 ORACLE: dict[str, str] = {}
