@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import minhash, packing, pieces, substring
+from curaspark.llm import minhash, packing, pieces, substring, warc
 from curaspark.llm.common import table
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.Archive.write(table(spark, sf_dir, "pages"), min_bytes=0).index()
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -27,6 +31,6 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
-QUERIES = {"op6_sentencepiece": op6_sentencepiece, "op7_substring": op7_substring, "op9_packing": op9_packing, "op10_minhash": op10_minhash}
+QUERIES = {"op2_warc": op2_warc, "op6_sentencepiece": op6_sentencepiece, "op7_substring": op7_substring, "op9_packing": op9_packing, "op10_minhash": op10_minhash}
 
 ORACLE: dict[str, str] = {}
