@@ -3,11 +3,13 @@
 Signatures take two permutations of the 32-bit universe of shingles: the first scatters a shingle once, the second
 is circularly shifted by k for coordinate k, so one pass over a text's shingles gives every coordinate.
 
-Candidates never come as all pairs of a bucket. Texts with equal shingle sets are one vertex from the start. In each
-round every bucket that still spans several components names a few hubs, all its other members are verified against
-them on full sets, and a hub that has met the whole bucket leaves it; links join components, and only members of
-other components are tested. The number of hubs grows fourfold a round, so a bucket ends either as one component or
-with every pair across its components tested: no link between different texts of a bucket is lost.
+Candidates never come as all pairs of a bucket. Texts with equal shingle sets are one vertex from the start. Every
+bucket that spans several components tests its members against one hub, its least, on full sets. A pair (x, y) that is
+left in different components is then ruled out or found through that hub h. Let A and E count what a text lacks of h
+and has beyond h. If x and y share nothing beyond h, they have at most |h| - max(A) words in common and at least
+|h| - min(A) + E + E together: pairs for which this bound stays under the limit need no test, and those few over it are
+tested. All others share something beyond h, so they meet again in buckets by hub and shared shingle (its prefix that
+the overlap needs), without h. That repeats until every bucket is one component: no link of a bucket is lost.
 
 Defined results: null, empty and white-space texts have no shingles and stay alone; a text of fewer words than a
 shingle has one shingle, the whole sequence; rows that repeat a doc_id are one vertex; rows without a doc_id take
@@ -103,21 +105,58 @@ def _sets(width: int):
     return run
 
 
-def _linked(percent: int):
+def _against_hub(percent: int):
+    """Tests x against its hub: a, b, whether they link, sizes of the hub, of A and E, and the shingles to meet by."""
+    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("h", pa.int64()), ("lacks", pa.int64()), ("beyond", pa.int64()), ("meet", pa.list_(pa.int64()))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out = [[] for _ in schema]
+            for hub, rep, many, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                own, centre = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                at = np.searchsorted(centre, own)
+                inside = centre[np.minimum(at, len(centre) - 1)] == own
+                same = int(inside.sum())
+                linked = 100 * same >= percent * (len(own) + len(centre) - same)
+                meet = np.zeros(0, np.int64)
+                if many:
+                    need = max(1, -(-percent * len(own) // 100) - same)
+                    meet = own[~inside][: max(0, len(own) - same - need + 1)].view(np.int64)
+                for col, value in zip(out, (hub, rep, len(own), linked, len(centre), len(centre) - same, len(own) - same, meet), strict=True):
+                    col.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
 
+_TESTED = "hub long, rep long, n long, linked boolean, h long, lacks long, beyond long, meet array<long>"
+
+
+def _open(state: DataFrame, by: str) -> DataFrame:
+    """Values of `by` whose rows are in several components."""
+    return state.groupBy(by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(by)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("comp", F.col("rep"))
+    return rows.join(labels, rows.rep == labels.v, "left").select(*rows.columns, F.coalesce("comp", "rep").alias("comp"))
+
+
+def _bound_pairs(tested: DataFrame, percent: int) -> DataFrame:
+    """Buckets of two for pairs around a hub that may link though they share nothing beyond it."""
+    near = tested.where(100 * (F.col("n") - F.col("beyond")) >= percent * F.col("n")).select("hub", "rep", "n", "comp", "h", "lacks", "beyond")
+    least = near.groupBy("hub").agg(F.least(F.lit(0), F.min(F.col("beyond") - F.col("lacks"))).alias("g"))
+    near = near.join(least, "hub").where(100 * (F.col("h") - F.col("lacks")) >= percent * (F.col("h") + F.col("beyond") + F.col("g")))
+    x, y = near.alias("x"), near.alias("y")
+    common = F.col("x.h") - F.greatest("x.lacks", "y.lacks")
+    union = F.col("x.h") - F.least("x.lacks", "y.lacks") + F.col("x.beyond") + F.col("y.beyond")
+    sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    both = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & sized & (100 * common >= percent * union))
+    pairs = both.select(F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.col("y.rep").alias("b"), F.col("y.n").alias("nb")).distinct()
+    return pairs.select(F.xxhash64("a", "b", F.lit("pair")).alias("key"), F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("na").alias("n")), F.struct(F.col("b").alias("rep"), F.col("nb").alias("n")))).alias("m")).select("key", "m.rep", "m.n")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), kept.
 
@@ -135,26 +174,26 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     labels, turn = None, 0
     while True:
-        state = members.withColumn("comp", F.col("rep"))
-        if labels is not None:
-            state = members.join(labels, members.rep == labels.v, "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        state = store.save(state, f"state-{turn}")
-        open_keys = store.save(state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), f"open-{turn}")
+        state = store.save(_labelled(members, labels), f"state-{turn}")
+        open_keys = store.save(_open(state, "key"), f"open-{turn}")
         if not open_keys.count():
             break
-        state = store.save(state.join(open_keys, "key"), f"live-{turn}")
-        slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(4**turn))
-        hubs = store.save(state.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rep", "n", "comp")).alias("hub")).select("key", "hub.*"), f"hubs-{turn}")
-        near = (F.col("m.comp") != F.col("h.comp")) & (100 * F.least("m.n", "h.n") >= percent * F.greatest("m.n", "h.n"))
-        pairs = state.alias("m").join(hubs.alias("h"), "key").where(near).select(F.least("m.rep", "h.rep").alias("a"), F.greatest("m.rep", "h.rep").alias("b")).distinct()
-        pairs = store.save(pairs, f"pairs-{turn}")
-        full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-        links = full.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long")
+        live = store.save(state.join(open_keys, "key"), f"live-{turn}")
+        hubs = store.save(live.groupBy("key").agg(F.min("rep").alias("hub")), f"hubs-{turn}")
+        pairs = store.save(live.join(hubs, "key").where("rep <> hub").select("hub", "rep").distinct(), f"pairs-{turn}")
+        crowds = pairs.groupBy("hub").agg((F.count("*") > 1).alias("many"))
+        full = pairs.join(sets.select("rep", F.col("shingles").alias("x")), "rep").join(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("y")).join(crowds, "hub"), "hub")
+        tested = store.save(full.select("hub", "rep", "many", "x", "y").mapInArrow(_against_hub(percent), _TESTED), f"tested-{turn}")
+        links = tested.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
         if labels is not None:
             links = links.unionAll(labels.select(F.col("comp").alias("a"), F.col("v").alias("b")))
         labels = components(links, store, f"links-{turn}")
-        members = store.save(state.join(hubs.select("key", "rep"), ["key", "rep"], "left_anti").select("key", "rep", "n"), f"members-{turn + 1}")
-        store.drop(f"members-{turn}", f"state-{turn}", f"open-{turn}", f"live-{turn}", f"hubs-{turn}", f"pairs-{turn}")
+        around = store.save(_labelled(tested, labels), f"around-{turn}")
+        mixed = store.save(_open(around, "hub"), f"mixed-{turn}")
+        around = around.join(mixed, "hub")
+        met = around.select(F.col("rep"), F.col("n"), F.col("hub"), F.explode("meet").alias("s")).select(F.xxhash64("hub", "s").alias("key"), "rep", "n")
+        members = store.save(met.unionAll(_bound_pairs(around, percent)), f"members-{turn + 1}")
+        store.drop(f"members-{turn}", f"state-{turn}", f"open-{turn}", f"live-{turn}", f"hubs-{turn}", f"pairs-{turn}", f"tested-{turn}", f"around-{turn}", f"mixed-{turn}")
         turn += 1
 
     found = signed.where("node is not null").join(nodes.select("node", "rep"), "node").select("doc_id", "n_shingles", "rep")
