@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from curaspark.llm.common import estimated_bytes, mix64, planes, unplanes, word_hashes
 
-CHUNK_WORDS = 4_000_000
+CHUNK_WORDS = 2_000_000
 BUCKET_WORDS = 1_000_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -202,11 +202,11 @@ def _probe(window: int, block: int, chunk_words: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, chunk = _Rolling(_BASES[0]), _Chunk(chunk_words, buckets, _probing(block))
         for batch in batches:
-            for doc_id, tag, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = _words(text)
                 if len(words) >= window:
                     gram = rolling(word_hashes(words), block)
-                    if chunk.add(doc_id, tag, len(words), gram, np.arange(len(gram), dtype=np.uint32)):
+                    if chunk.add(doc_id, 0, len(words), gram, np.arange(len(gram), dtype=np.uint32)):
                         yield from chunk.flush()
         yield from chunk.flush()
 
@@ -214,14 +214,14 @@ def _probe(window: int, block: int, chunk_words: int, buckets: int):
 
 
 def _merged(found: list[bytes]) -> np.ndarray:
-    return np.unique(np.concatenate([unplanes(x, np.uint32) for x in found]))
+    return np.unique(np.concatenate([unplanes(x, np.uint32) for x in found])) if found else np.zeros(0, np.uint32)
 
 
 def _extend(window: int, block: int, chunk_words: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two, chunk = _Rolling(_BASES[0]), _Rolling(_BASES[1]), _Chunk(chunk_words, buckets, _extending)
         for batch in batches:
-            for doc_id, tag, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text, tag, found in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 words = _words(text)
                 n = len(words) - window + 1
                 if n < 1:
@@ -330,13 +330,13 @@ def _marked(held: list) -> tuple[np.ndarray, ...]:
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            texts, tags, found = (batch.column(i).to_pylist() for i in (2, 3, 4))
             words_n, gone_n, kept = [], [], []
-            for text, at in zip(texts, found, strict=True):
+            for text, tag, marks in zip(texts, tags, found, strict=True):
                 words = _words(text)
                 gone = 0
-                if at:
-                    starts = _merged(at).astype(np.int64)
+                if own := [m["at"] for m in marks or () if m["tag"] == tag]:
+                    starts = _merged(own).astype(np.int64)
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + window, -1)
@@ -366,14 +366,14 @@ def repeated_substrings_cut(docs: DataFrame, window: int = 50, chunk_words: int
     block, buckets = (window + 1) // 2, _bucket_count(docs)
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = docs.select(rest.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tag"))
-    known = rows.where("doc_id is not null").select("doc_id", "tag", "text")
-    entries = known.mapInArrow(_probe(window, block, chunk_words, buckets), _ENTRY_DDL)
+    known = rows.where("doc_id is not null")  # its shuffle by doc_id, all columns, serves both joins
+    entries = known.select("doc_id", "text").mapInArrow(_probe(window, block, chunk_words, buckets), _ENTRY_DDL)
     hits = entries.repartition("p").sortWithinPartitions("p").mapInArrow(_meeting(_hits(block), np.uint32, np.uint8), _FOUND_DDL)
-    hits = hits.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("found"))
-    keys = known.join(hits, ["doc_id", "tag"]).select("doc_id", "tag", "text", "found").mapInArrow(_extend(window, block, chunk_words, buckets), _ENTRY_DDL)
+    hits = hits.groupBy("doc_id").agg(F.collect_list("at").alias("found"))
+    keys = known.join(hits, "doc_id").select("row", "doc_id", "text", "tag", "found").mapInArrow(_extend(window, block, chunk_words, buckets), _ENTRY_DDL)
     marks = keys.repartition("p").sortWithinPartitions("p").mapInArrow(_meeting(_marked, np.uint64, np.uint64), _FOUND_DDL)
-    marks = marks.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("found"))
-    joined = rows.where("doc_id is not null").join(marks, ["doc_id", "tag"], "left").select("row", "doc_id", "text", "found")
-    loose = rows.where("doc_id is null").select("row", "doc_id", "text", F.lit(None).cast("array<binary>").alias("found"))
+    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "at")).alias("found"))
+    joined = known.join(marks, "doc_id", "left").select("row", "doc_id", "text", "tag", "found")
+    loose = rows.where("doc_id is null").select("row", "doc_id", "text", "tag", F.lit(None).cast("array<struct<tag:bigint,at:binary>>").alias("found"))
     ddl = f"row {joined.schema['row'].dataType.simpleString()}, doc_id long, n_words long, n_removed long, kept_text string"
     return joined.unionAll(loose).mapInArrow(_cut(window), ddl)
