@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import minhash, packing, pieces, substring, warc
+from curaspark.llm import extract, jpeg, minhash, packing, pieces, substring, warc
 from curaspark.llm.common import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.Archive.write(table(spark, sf_dir, "pages"), min_bytes=0).index()
 
@@ -23,6 +27,10 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
@@ -31,6 +39,14 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
-QUERIES = {"op2_warc": op2_warc, "op6_sentencepiece": op6_sentencepiece, "op7_substring": op7_substring, "op9_packing": op9_packing, "op10_minhash": op10_minhash}
+QUERIES = {
+    "op1_html": op1_html,
+    "op2_warc": op2_warc,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_substring": op7_substring,
+    "op8_media": op8_media,
+    "op9_packing": op9_packing,
+    "op10_minhash": op10_minhash,
+}
 
 ORACLE: dict[str, str] = {}
