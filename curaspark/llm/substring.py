@@ -6,7 +6,7 @@ words, so:
 
 1. each text gives its non-overlapping blocks as an index and every rolling window of block length as a probe; both
    meet by hash in buckets. A position is a hit if its words are a block of another document.
-2. hits are extended: every full window around a hit is keyed by 128 bits of its words, all equal windows of the
+2. hits are extended: every full window around a hit is keyed by 96 bits of its words, all equal windows of the
    corpus meet in a bucket, and those whose key starts in a smaller doc_id are marked. Runs of marked windows are the
    maximal exact repeats, without ever comparing documents by pairs.
 3. words under marked windows are cut.
@@ -233,7 +233,7 @@ def _extend(window: int, block: int, chunk_words: int, buckets: int):
                 at = np.flatnonzero(np.cumsum(edge)[:n] > 0)
                 if len(at):
                     h = word_hashes(words)
-                    if chunk.add(doc_id, tag, len(words), one(h, window)[at], two(h, window)[at], at.astype(np.uint32)):
+                    if chunk.add(doc_id, tag, len(words), one(h, window)[at], (two(h, window)[at] >> np.uint64(32)).astype(np.uint32), at.astype(np.uint32)):
                         yield from chunk.flush()
         yield from chunk.flush()
 
@@ -365,13 +365,15 @@ def repeated_substrings_cut(docs: DataFrame, window: int = 50, chunk_words: int
     """
     block, buckets = (window + 1) // 2, _bucket_count(docs)
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    rows = docs.select(rest.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tag"))
+    kinds = dict(docs.dtypes)
+    plain = [F.col(c) if kinds[c] == kind else F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "bigint"), ("text", "string"))]
+    rows = docs.select(rest.alias("row"), *plain, F.xxhash64("text").alias("tag"))
     known = rows.where("doc_id is not null")  # its shuffle by doc_id, all columns, serves both joins
     entries = known.select("doc_id", "text").mapInArrow(_probe(window, block, chunk_words, buckets), _ENTRY_DDL)
     hits = entries.repartition("p").sortWithinPartitions("p").mapInArrow(_meeting(_hits(block), np.uint32, np.uint8), _FOUND_DDL)
     hits = hits.groupBy("doc_id").agg(F.collect_list("at").alias("found"))
     keys = known.join(hits, "doc_id").select("row", "doc_id", "text", "tag", "found").mapInArrow(_extend(window, block, chunk_words, buckets), _ENTRY_DDL)
-    marks = keys.repartition("p").sortWithinPartitions("p").mapInArrow(_meeting(_marked, np.uint64, np.uint64), _FOUND_DDL)
+    marks = keys.repartition("p").sortWithinPartitions("p").mapInArrow(_meeting(_marked, np.uint64, np.uint32), _FOUND_DDL)
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "at")).alias("found"))
     joined = known.join(marks, "doc_id", "left").select("row", "doc_id", "text", "tag", "found")
     loose = rows.where("doc_id is null").select("row", "doc_id", "text", "tag", F.lit(None).cast("array<struct<tag:bigint,at:binary>>").alias("found"))
