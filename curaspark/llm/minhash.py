@@ -8,8 +8,10 @@ bucket that spans several components tests its members against one hub, its leas
 left in different components is then ruled out or found through that hub h. Let A and E count what a text lacks of h
 and has beyond h. If x and y share nothing beyond h, they have at most |h| - max(A) words in common and at least
 |h| - min(A) + E + E together: pairs for which this bound stays under the limit need no test, and those few over it are
-tested. All others share something beyond h, so they meet again in buckets by hub and shared shingle (its prefix that
-the overlap needs), without h. That repeats until every bucket is one component: no link of a bucket is lost.
+tested. All others share something beyond h, so they meet again in buckets by hub and shared shingle, without h; each
+text enters only as many of them, rarest first, as the overlap it needs leaves open. Buckets of up to `SMALL` texts
+(and all after `TURNS` turns) then test their pairs across components, larger ones name a hub again, until every bucket
+is one component: no link of a bucket is lost.
 
 Defined results: null, empty and white-space texts have no shingles and stay alone; a text of fewer words than a
 shingle has one shingle, the whole sequence; rows that repeat a doc_id are one vertex; rows without a doc_id take
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from curaspark.llm.common import Store, mix64, word_hashes
 from curaspark.llm.components import components
 
+SMALL, TURNS = 24, 4
 BANDS, ROWS = 30, 5  # at a similarity of 0.8 a pair shares no band with probability 6.7e-6
 #: Odd multipliers, any will do.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
@@ -107,7 +110,7 @@ def _sets(width: int):
 
 def _against_hub(percent: int):
     """Tests x against its hub: a, b, whether they link, sizes of the hub, of A and E, and the shingles to meet by."""
-    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("h", pa.int64()), ("lacks", pa.int64()), ("beyond", pa.int64()), ("meet", pa.list_(pa.int64()))])
+    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("h", pa.int64()), ("lacks", pa.int64()), ("beyond", pa.int64()), ("take", pa.int32()), ("meet", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,18 +121,17 @@ def _against_hub(percent: int):
                 inside = centre[np.minimum(at, len(centre) - 1)] == own
                 same = int(inside.sum())
                 linked = 100 * same >= percent * (len(own) + len(centre) - same)
-                meet = np.zeros(0, np.int64)
-                if many:
-                    need = max(1, -(-percent * len(own) // 100) - same)
-                    meet = own[~inside][: max(0, len(own) - same - need + 1)].view(np.int64)
-                for col, value in zip(out, (hub, rep, len(own), linked, len(centre), len(centre) - same, len(own) - same, meet), strict=True):
+                need = max(1, -(-percent * len(own) // 100) - same)
+                take = max(0, len(own) - same - need + 1)
+                meet = own[~inside].view(np.int64) if many and take else np.zeros(0, np.int64)
+                for col, value in zip(out, (hub, rep, len(own), linked, len(centre), len(centre) - same, len(own) - same, take, meet), strict=True):
                     col.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
 
-_TESTED = "hub long, rep long, n long, linked boolean, h long, lacks long, beyond long, meet array<long>"
+_TESTED = "hub long, rep long, n long, linked boolean, h long, lacks long, beyond long, take int, meet array<long>"
 
 
 def _open(state: DataFrame, by: str) -> DataFrame:
@@ -143,6 +145,14 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, rows.rep == labels.v, "left").select(*rows.columns, F.coalesce("comp", "rep").alias("comp"))
 
 
+def _meetings(around: DataFrame) -> DataFrame:
+    """Buckets by hub and a shingle beyond it, of each text's rarest ones only: key, rep, n."""
+    rows = around.select("hub", "rep", "n", "take", "comp", F.explode("meet").alias("s"))
+    often = rows.groupBy("hub", "s").agg(F.count("*").alias("c"), (F.min("comp") < F.max("comp")).alias("mixed"))
+    ranked = rows.join(often, ["hub", "s"]).groupBy("hub", "rep", "n", "take").agg(F.sort_array(F.collect_list(F.struct("c", "s", "mixed"))).alias("m"))
+    return ranked.select("hub", "rep", "n", F.explode(F.slice("m", F.lit(1), F.col("take"))).alias("m")).where("m.mixed").select(F.xxhash64("hub", "m.s").alias("key"), "rep", "n")
+
+
 def _bound_pairs(tested: DataFrame, percent: int) -> DataFrame:
     """Buckets of two for pairs around a hub that may link though they share nothing beyond it."""
     near = tested.where(100 * (F.col("n") - F.col("beyond")) >= percent * F.col("n")).select("hub", "rep", "n", "comp", "h", "lacks", "beyond")
@@ -179,20 +189,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         if not open_keys.count():
             break
         live = store.save(state.join(open_keys, "key"), f"live-{turn}")
-        hubs = store.save(live.groupBy("key").agg(F.min("rep").alias("hub")), f"hubs-{turn}")
-        pairs = store.save(live.join(hubs, "key").where("rep <> hub").select("hub", "rep").distinct(), f"pairs-{turn}")
-        crowds = pairs.groupBy("hub").agg((F.count("*") > 1).alias("many"))
-        full = pairs.join(sets.select("rep", F.col("shingles").alias("x")), "rep").join(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("y")).join(crowds, "hub"), "hub")
-        tested = store.save(full.select("hub", "rep", "many", "x", "y").mapInArrow(_against_hub(percent), _TESTED), f"tested-{turn}")
+        large = (F.col("size") > SMALL) if 0 < turn < TURNS else F.lit(turn == 0)
+        hubs = store.save(live.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).select("key", "hub", large.alias("large")), f"hubs-{turn}")
+        crowded = live.join(hubs.where("large"), "key").where("rep <> hub").select("hub", "rep")
+        small = live.join(hubs.where("not large").select("key"), "key")
+        x, y = small.alias("x"), small.alias("y")
+        sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+        few = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & sized).select(F.col("x.rep").alias("hub"), F.col("y.rep").alias("rep"))
+        pairs = crowded.withColumn("crowd", F.lit(True))
+        if turn:
+            pairs = pairs.unionAll(few.withColumn("crowd", F.lit(False)))
+        pairs = store.save(pairs.groupBy("hub", "rep").agg(F.max("crowd").alias("crowd")), f"pairs-{turn}")
+        crowds = pairs.groupBy("hub").agg((F.count_if("crowd") > 1).alias("many"))
+        left = pairs.join(sets.select("rep", F.col("shingles").alias("x")), "rep")
+        full = left.join(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("y")).join(crowds, "hub"), "hub")
+        tested = store.save(full.select("hub", "rep", (F.col("many") & F.col("crowd")).alias("many"), "x", "y").mapInArrow(_against_hub(percent), _TESTED), f"tested-{turn}")
         links = tested.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
         if labels is not None:
             links = links.unionAll(labels.select(F.col("comp").alias("a"), F.col("v").alias("b")))
         labels = components(links, store, f"links-{turn}")
-        around = store.save(_labelled(tested, labels), f"around-{turn}")
+        around = store.save(_labelled(tested.join(pairs.where("crowd").select("hub", "rep"), ["hub", "rep"]), labels), f"around-{turn}")
         mixed = store.save(_open(around, "hub"), f"mixed-{turn}")
         around = around.join(mixed, "hub")
-        met = around.select(F.col("rep"), F.col("n"), F.col("hub"), F.explode("meet").alias("s")).select(F.xxhash64("hub", "s").alias("key"), "rep", "n")
-        members = store.save(met.unionAll(_bound_pairs(around, percent)), f"members-{turn + 1}")
+        members = store.save(_meetings(around).unionAll(_bound_pairs(around, percent)), f"members-{turn + 1}")
         store.drop(f"members-{turn}", f"state-{turn}", f"open-{turn}", f"live-{turn}", f"hubs-{turn}", f"pairs-{turn}", f"tested-{turn}", f"around-{turn}", f"mixed-{turn}")
         turn += 1
 
