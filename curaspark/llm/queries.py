@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import extract, jpeg, minhash, packing, pieces, substring, warc
+from curaspark.llm import extract, hostrules, jpeg, minhash, packing, pieces, substring, urlfilter, warc
 from curaspark.llm.common import table
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extracted(table(spark, sf_dir, "pages"))
 
@@ -18,6 +21,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.Archive.write(table(spark, sf_dir, "pages"), min_bytes=0).index()
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_hostrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.judged(table(spark, sf_dir, "documents"), host="source")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -42,6 +53,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html": op1_html,
     "op2_warc": op2_warc,
+    "op4_urls": op4_urls,
+    "op5_hostrules": op5_hostrules,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_substring": op7_substring,
     "op8_media": op8_media,
