@@ -214,7 +214,7 @@ def _probe(window: int, block: int, chunk_words: int, buckets: int):
 
 
 def _merged(found: list[bytes]) -> np.ndarray:
-    return np.unique(np.concatenate([unplanes(x, np.uint32) for x in found])) if found else np.zeros(0, np.uint32)
+    return np.unique(np.concatenate([unplanes(x, np.uint32) for x in found]))
 
 
 def _extend(window: int, block: int, chunk_words: int, buckets: int):
@@ -226,7 +226,7 @@ def _extend(window: int, block: int, chunk_words: int, buckets: int):
                 n = len(words) - window + 1
                 if n < 1:
                     continue
-                hits = _merged(found).astype(np.int64)
+                hits = unplanes(found, np.uint32).astype(np.int64)
                 edge = np.zeros(len(words) + 2, np.int64)
                 np.add.at(edge, np.maximum(hits - (window - block), 0), 1)
                 np.add.at(edge, np.minimum(hits, len(words)) + 1, -1)
@@ -241,10 +241,10 @@ def _extend(window: int, block: int, chunk_words: int, buckets: int):
 
 
 class _Found:
-    """Positions found in a task's buckets, regrouped by document before they leave."""
+    """Positions found in a task's buckets, regrouped by slices of documents before they leave."""
 
-    def __init__(self, limit: int = 1_000_000):
-        self.limit = limit
+    def __init__(self, bits: int, limit: int = 1_000_000):
+        self.bits, self.limit = bits, limit
         self.clear()
 
     def clear(self) -> None:
@@ -261,13 +261,37 @@ class _Found:
             return
         doc, tag, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.clear()
+        part = (mix64(doc.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        order = np.lexsort((pos, tag, doc, part))
+        doc, tag, pos, part = doc[order], tag[order], pos[order], part[order]
+        starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+        owner = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(doc)]))
+        none = np.zeros(0, np.uint8)
+        rows = [_entry(int(part[x]), _LOCAL, doc[starts], tag[starts], owner[x:y], pos[x:y], none, none) for x, y in zip(*_slices(part), strict=True)]
+        yield pa.RecordBatch.from_pylist([dict(zip(_ENTRY.names, r, strict=True)) for r in rows], schema=_ENTRY)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document from the slices of all tasks; rows come sorted by slice."""
+
+    def merged(held: list) -> pa.RecordBatch:
+        doc, tag, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((pos, tag, doc))
         doc, tag, pos = doc[order], tag[order], pos[order].astype(np.uint32)
         starts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
-        ends = np.r_[starts[1:], len(doc)]
-        for s in range(0, len(starts), 4096):
-            a, b = starts[s : s + 4096], ends[s : s + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(tag[a]), pa.array([planes(pos[x:y]) for x, y in zip(a, b, strict=True)], pa.binary())], schema=_FOUND)
+        at = [planes(pos[x:y]) for x, y in zip(starts, np.r_[starts[1:], len(doc)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.array(tag[starts]), pa.array(at, pa.binary())], schema=_FOUND)
+
+    part, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["p"] != part and held:
+                yield merged(held)
+                held = []
+            part = row["p"]
+            held.append(_opened(row, np.uint8, np.uint8)[:3])
+    if held:
+        yield merged(held)
 
 
 def _opened(row: dict, key_type, key2_type) -> tuple[np.ndarray, ...]:
@@ -275,11 +299,11 @@ def _opened(row: dict, key_type, key2_type) -> tuple[np.ndarray, ...]:
     return np.repeat(docs, count), np.repeat(unplanes(row["tags"], np.int64), count), _positions(count, step), unplanes(row["key"], key_type), unplanes(row["key2"], key2_type)
 
 
-def _meeting(resolve, key_type, key2_type):
+def _meeting(resolve, key_type, key2_type, bits: int):
     """Runs `resolve` on each bucket of a task; rows come sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, bucket, held = _Found(), None, []
+        found, bucket, held = _Found(bits), None, []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["p"] != bucket:
@@ -369,11 +393,15 @@ def repeated_substrings_cut(docs: DataFrame, window: int = 50, chunk_words: int
     plain = [F.col(c) if kinds[c] == kind else F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "bigint"), ("text", "string"))]
     rows = docs.select(rest.alias("row"), *plain, F.xxhash64("text").alias("tag"))
     known = rows.where("doc_id is not null")  # its shuffle by doc_id, all columns, serves both joins
-    entries = known.select("doc_id", "text").mapInArrow(_probe(window, block, chunk_words, buckets), _ENTRY_DDL)
-    hits = entries.repartition("p").sortWithinPartitions("p").mapInArrow(_meeting(_hits(block), np.uint32, np.uint8), _FOUND_DDL)
-    hits = hits.groupBy("doc_id").agg(F.collect_list("at").alias("found"))
-    keys = known.join(hits, "doc_id").select("row", "doc_id", "text", "tag", "found").mapInArrow(_extend(window, block, chunk_words, buckets), _ENTRY_DDL)
-    marks = keys.repartition("p").sortWithinPartitions("p").mapInArrow(_meeting(_marked, np.uint64, np.uint32), _FOUND_DDL)
+    bits = buckets.bit_length() - 1
+
+    def met(entries: DataFrame, resolve, *kinds) -> DataFrame:
+        slices = entries.repartition("p").sortWithinPartitions("p").mapInArrow(_meeting(resolve, *kinds, bits), _ENTRY_DDL)
+        return slices.repartition("p").sortWithinPartitions("p").mapInArrow(_gathered, _FOUND_DDL)
+
+    hits = met(known.select("doc_id", "text").mapInArrow(_probe(window, block, chunk_words, buckets), _ENTRY_DDL), _hits(block), np.uint32, np.uint8)
+    keys = known.join(hits.select("doc_id", "at"), "doc_id").select("row", "doc_id", "text", "tag", "at").mapInArrow(_extend(window, block, chunk_words, buckets), _ENTRY_DDL)
+    marks = met(keys, _marked, np.uint64, np.uint32)
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "at")).alias("found"))
     joined = known.join(marks, "doc_id", "left").select("row", "doc_id", "text", "tag", "found")
     loose = rows.where("doc_id is null").select("row", "doc_id", "text", "tag", F.lit(None).cast("array<struct<tag:bigint,at:binary>>").alias("found"))
