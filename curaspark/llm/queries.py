@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curaspark.llm import extract, hostrules, jpeg, minhash, packing, pieces, substring, urlfilter, warc
+from curaspark.llm import extract, hostrules, jpeg, minhash, packing, pieces, rulefit, substring, urlfilter, warc
 from curaspark.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.Archive.write(table(spark, sf_dir, "pages"), min_bytes=0).index()
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rulefit.scored(docs, rulefit.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -53,6 +58,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html": op1_html,
     "op2_warc": op2_warc,
+    "op3_quality": op3_quality,
     "op4_urls": op4_urls,
     "op5_hostrules": op5_hostrules,
     "op6_sentencepiece": op6_sentencepiece,
