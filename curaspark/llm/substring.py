@@ -351,7 +351,7 @@ def _marked(held: list) -> tuple[np.ndarray, ...]:
     return doc[late], tag[late], pos[late]
 
 
-def _cut(window: int):
+def _cut(window: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, tags, found = (batch.column(i).to_pylist() for i in (2, 3, 4))
@@ -371,7 +371,8 @@ def _cut(window: int):
                     kept.append(b" ".join(words).decode())
                 words_n.append(len(words))
                 gone_n.append(gone)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words_n, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(kept, pa.string())], names=["row", "doc_id", "n_words", "n_removed", "kept_text"])
+            columns = [batch.column(0), batch.column(1), pa.array(words_n, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(2)][: 5 + keep_text], names=["row", "doc_id", "n_words", "n_removed", "kept_text", "text"][: 5 + keep_text])
 
     return run
 
@@ -382,10 +383,10 @@ def _bucket_count(docs: DataFrame) -> int:
     return 1 << min(24, max(8, (words // BUCKET_WORDS).bit_length()))
 
 
-def repeated_substrings_cut(docs: DataFrame, window: int = 50, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def repeated_substrings_cut(docs: DataFrame, window: int = 50, chunk_words: int = CHUNK_WORDS, keep_text: bool = False) -> DataFrame:
     """A row per document: row (a struct of all its columns but text), doc_id, n_words, n_removed, kept_text.
 
-    kept_text holds the kept words, joined by one space.
+    kept_text holds the kept words, joined by one space; with `keep_text` the whole text comes too, as text.
     """
     block, buckets = (window + 1) // 2, _bucket_count(docs)
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
@@ -405,5 +406,5 @@ def repeated_substrings_cut(docs: DataFrame, window: int = 50, chunk_words: int
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "at")).alias("found"))
     joined = known.join(marks, "doc_id", "left").select("row", "doc_id", "text", "tag", "found")
     loose = rows.where("doc_id is null").select("row", "doc_id", "text", "tag", F.lit(None).cast("array<struct<tag:bigint,at:binary>>").alias("found"))
-    ddl = f"row {joined.schema['row'].dataType.simpleString()}, doc_id long, n_words long, n_removed long, kept_text string"
-    return joined.unionAll(loose).mapInArrow(_cut(window), ddl)
+    ddl = f"row {joined.schema['row'].dataType.simpleString()}, doc_id long, n_words long, n_removed long, kept_text string" + ", text string" * keep_text
+    return joined.unionAll(loose).mapInArrow(_cut(window, keep_text), ddl)
