@@ -12,8 +12,10 @@ stays null; an empty table gives an empty table. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +28,53 @@ from curaspark.llm.common import Store
 CAPACITY = 2048
 
 
+#: What the tokenizer splits lower-cased text by, for the characters of _PLAIN.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+").findall
+#: Stretches of printable ASCII and precomposed Latin letters: composed already and lower-cased letter by letter.
+_PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if visible, else the next past 255."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _PartIds(dict):
+    """Ids of one part of the tokenizer's own split, straight from its merges."""
+
+    def __init__(self, tokenizer, limit: int):
+        self.tokenize, self.limit, self.letters = tokenizer.model.tokenize, limit, _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        form = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+        ids = self[part] = pack(f"<{len(found := self.tokenize(form))}I", *[t.id for t in found])
+        return ids
+
+
 class _WordIds(dict):
-    """Ids of a white-space-free stretch as little-endian bytes; the tokenizer treats such stretches one by one."""
+    """Ids of a white-space-free stretch as little-endian bytes; the tokenizer treats such stretches one by one.
+
+    Plain stretches are split here and only their parts go to the tokenizer's merges; any other goes through it whole.
+    """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.encode, self.limit = Tokenizer.from_file(path).encode, limit
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.parts, self.limit = tokenizer.encode, _PartIds(tokenizer, limit), limit
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode()
+        if _PLAIN(text) and "<|" not in text:
+            ids = b"".join([self.parts[p] for p in _PARTS(text.lower())])
+        else:
+            ids = np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) < 64:
             self[word] = ids
         return ids
