@@ -4,14 +4,15 @@ Signatures take two permutations of the 32-bit universe of shingles: the first s
 is circularly shifted by k for coordinate k, so one pass over a text's shingles gives every coordinate.
 
 Candidates never come as all pairs of a bucket. Texts with equal shingle sets are one vertex from the start. Every
-bucket that spans several components tests its members against one hub, its least, on full sets. A pair (x, y) that is
+bucket that spans several components tests its members against one hub on full sets: its least doc_id at first,
+later the text with least beyond the hub before. A pair (x, y) that is
 left in different components is then ruled out or found through that hub h. Let A and E count what a text lacks of h
 and has beyond h. If x and y share nothing beyond h, they have at most |h| - max(A) words in common and at least
 |h| - min(A) + E + E together: pairs for which this bound stays under the limit need no test, and those few over it are
 tested. All others share something beyond h, so they meet again in buckets by hub and shared shingle, without h; each
-text enters only as many of them, rarest first, as the overlap it needs leaves open. Buckets of up to `SMALL` texts
-(and all after `TURNS` turns) then test their pairs across components, larger ones name a hub again, until every bucket
-is one component: no link of a bucket is lost.
+text enters only as many of them, rarest first, as the overlap it needs leaves open. Buckets of up to `SMALL` texts,
+a bound that doubles with each turn, then test their pairs across components, larger ones name a hub again, until every
+bucket is one component: no link of a bucket is lost.
 
 Defined results: null, empty and white-space texts have no shingles and stay alone; a text of fewer words than a
 shingle has one shingle, the whole sequence; rows that repeat a doc_id are one vertex; rows without a doc_id take
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from curaspark.llm.common import Store, mix64, word_hashes
 from curaspark.llm.components import components
 
-SMALL, TURNS = 24, 4
+SMALL = 24
 BANDS, ROWS = 30, 5  # at a similarity of 0.8 a pair shares no band with probability 6.7e-6
 #: Odd multipliers, any will do.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
@@ -110,7 +111,7 @@ def _sets(width: int):
 
 def _against_hub(percent: int):
     """Tests x against its hub: a, b, whether they link, sizes of the hub, of A and E, and the shingles to meet by."""
-    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("h", pa.int64()), ("lacks", pa.int64()), ("beyond", pa.int64()), ("take", pa.int32()), ("meet", pa.list_(pa.int64()))])
+    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("h", pa.int64()), ("lacks", pa.int64()), ("beyond", pa.int64()), ("meet", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,17 +122,15 @@ def _against_hub(percent: int):
                 inside = centre[np.minimum(at, len(centre) - 1)] == own
                 same = int(inside.sum())
                 linked = 100 * same >= percent * (len(own) + len(centre) - same)
-                need = max(1, -(-percent * len(own) // 100) - same)
-                take = max(0, len(own) - same - need + 1)
-                meet = own[~inside].view(np.int64) if many and take else np.zeros(0, np.int64)
-                for col, value in zip(out, (hub, rep, len(own), linked, len(centre), len(centre) - same, len(own) - same, take, meet), strict=True):
+                meet = own[~inside].view(np.int64) if many else np.zeros(0, np.int64)
+                for col, value in zip(out, (hub, rep, len(own), linked, len(centre), len(centre) - same, len(own) - same, meet), strict=True):
                     col.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
 
-_TESTED = "hub long, rep long, n long, linked boolean, h long, lacks long, beyond long, take int, meet array<long>"
+_TESTED = "hub long, rep long, n long, linked boolean, h long, lacks long, beyond long, meet array<long>"
 
 
 def _open(state: DataFrame, by: str) -> DataFrame:
@@ -145,26 +144,38 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, rows.rep == labels.v, "left").select(*rows.columns, F.coalesce("comp", "rep").alias("comp"))
 
 
-def _meetings(around: DataFrame) -> DataFrame:
-    """Buckets by hub and a shingle beyond it, of each text's rarest ones only: key, rep, n."""
-    rows = around.select("hub", "rep", "n", "take", "comp", F.explode("meet").alias("s"))
+def _least_gain(around: DataFrame) -> DataFrame:
+    """Per hub the least of E - A over its members, at most 0 (the hub's own)."""
+    return around.groupBy("hub").agg(F.least(F.lit(0), F.min(F.col("beyond") - F.col("lacks"))).alias("g"))
+
+
+def _meetings(around: DataFrame, percent: int) -> DataFrame:
+    """Buckets by hub and a shingle beyond it, of each text's rarest ones only: key, rep, n, far.
+
+    If x and y link and x lacks at least as much as y, the shared part beyond the hub has at least
+    (100 A + percent (E + g) - (100 - percent) h) / (100 + percent) shingles, g the least E - A around the hub; with y
+    lacking more it has no fewer. So x need only offer all but that many of its shingles beyond the hub, less one.
+    """
+    need = F.ceil((100 * F.col("lacks") + percent * (F.col("beyond") + F.col("g")) - (100 - percent) * F.col("h")) / (100 + percent))
+    need = F.greatest(F.lit(1), need, F.ceil(percent * F.col("n") / 100) - (F.col("n") - F.col("beyond")))
+    take = F.greatest(F.lit(0), F.col("beyond") - need + 1).cast("int")
+    rows = around.join(_least_gain(around), "hub").select("hub", "rep", "n", take.alias("take"), "beyond", "comp", F.explode("meet").alias("s")).where("take > 0")
     often = rows.groupBy("hub", "s").agg(F.count("*").alias("c"), (F.min("comp") < F.max("comp")).alias("mixed"))
-    ranked = rows.join(often, ["hub", "s"]).groupBy("hub", "rep", "n", "take").agg(F.sort_array(F.collect_list(F.struct("c", "s", "mixed"))).alias("m"))
-    return ranked.select("hub", "rep", "n", F.explode(F.slice("m", F.lit(1), F.col("take"))).alias("m")).where("m.mixed").select(F.xxhash64("hub", "m.s").alias("key"), "rep", "n")
+    ranked = rows.join(often, ["hub", "s"]).groupBy("hub", "rep", "n", "take", "beyond").agg(F.sort_array(F.collect_list(F.struct("c", "s", "mixed"))).alias("m"))
+    return ranked.select("hub", "rep", "n", "beyond", F.explode(F.slice("m", F.lit(1), F.col("take"))).alias("m")).where("m.mixed").select(F.xxhash64("hub", "m.s").alias("key"), "rep", "n", F.col("beyond").alias("far"))
 
 
 def _bound_pairs(tested: DataFrame, percent: int) -> DataFrame:
     """Buckets of two for pairs around a hub that may link though they share nothing beyond it."""
     near = tested.where(100 * (F.col("n") - F.col("beyond")) >= percent * F.col("n")).select("hub", "rep", "n", "comp", "h", "lacks", "beyond")
-    least = near.groupBy("hub").agg(F.least(F.lit(0), F.min(F.col("beyond") - F.col("lacks"))).alias("g"))
-    near = near.join(least, "hub").where(100 * (F.col("h") - F.col("lacks")) >= percent * (F.col("h") + F.col("beyond") + F.col("g")))
+    near = near.join(_least_gain(tested), "hub").where(100 * (F.col("h") - F.col("lacks")) >= percent * (F.col("h") + F.col("beyond") + F.col("g")))
     x, y = near.alias("x"), near.alias("y")
     common = F.col("x.h") - F.greatest("x.lacks", "y.lacks")
     union = F.col("x.h") - F.least("x.lacks", "y.lacks") + F.col("x.beyond") + F.col("y.beyond")
     sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
     both = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & sized & (100 * common >= percent * union))
     pairs = both.select(F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.col("y.rep").alias("b"), F.col("y.n").alias("nb")).distinct()
-    return pairs.select(F.xxhash64("a", "b", F.lit("pair")).alias("key"), F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("na").alias("n")), F.struct(F.col("b").alias("rep"), F.col("nb").alias("n")))).alias("m")).select("key", "m.rep", "m.n")
+    return pairs.select(F.xxhash64("a", "b", F.lit("pair")).alias("key"), F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("na").alias("n")), F.struct(F.col("b").alias("rep"), F.col("nb").alias("n")))).alias("m")).select("key", "m.rep", "m.n", F.lit(0).cast("long").alias("far"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -178,7 +189,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     nodes = store.save(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.where("rep is not null").select("rep", "n", F.explode("bands").alias("key"))
     shared = store.save(banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key"), "shared")
-    members = store.save(banded.join(shared, "key").select("key", "rep", "n"), "members-0")
+    members = store.save(banded.join(shared, "key").select("key", "rep", "n", F.lit(0).cast("long").alias("far")), "members-0")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = store.save(texts.join(wanted, "doc_id").mapInArrow(_sets(shingle_words), "rep long, shingles binary"), "sets")
 
@@ -189,8 +200,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         if not open_keys.count():
             break
         live = store.save(state.join(open_keys, "key"), f"live-{turn}")
-        large = (F.col("size") > SMALL) if 0 < turn < TURNS else F.lit(turn == 0)
-        hubs = store.save(live.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).select("key", "hub", large.alias("large")), f"hubs-{turn}")
+        large = (F.col("size") > SMALL * 2 ** (turn - 1)) if turn else F.lit(True)
+        hubs = store.save(live.groupBy("key").agg(F.min_by("rep", F.struct("far", "rep")).alias("hub"), F.count("*").alias("size")).select("key", "hub", large.alias("large")), f"hubs-{turn}")
         crowded = live.join(hubs.where("large"), "key").where("rep <> hub").select("hub", "rep")
         small = live.join(hubs.where("not large").select("key"), "key")
         x, y = small.alias("x"), small.alias("y")
@@ -211,7 +222,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         around = store.save(_labelled(tested.join(pairs.where("crowd").select("hub", "rep"), ["hub", "rep"]), labels), f"around-{turn}")
         mixed = store.save(_open(around, "hub"), f"mixed-{turn}")
         around = around.join(mixed, "hub")
-        members = store.save(_meetings(around).unionAll(_bound_pairs(around, percent)), f"members-{turn + 1}")
+        members = store.save(_meetings(around, percent).unionAll(_bound_pairs(around, percent)), f"members-{turn + 1}")
         store.drop(f"members-{turn}", f"state-{turn}", f"open-{turn}", f"live-{turn}", f"hubs-{turn}", f"pairs-{turn}", f"tested-{turn}", f"around-{turn}", f"mixed-{turn}")
         turn += 1
 
