@@ -14,6 +14,12 @@ def _star(edges: DataFrame, centre: str, other: str) -> DataFrame:
     return edges.join(least, centre).select(F.col(other).alias("v"), "m", F.col(centre).alias("c"))
 
 
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some vertex points at two others, or is pointed at and points."""
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    return bool(ends.groupBy("u").agg(F.sum("out").alias("o"), F.max("into").alias("i")).where("o > 1 or (o = 1 and i = 1)").limit(1).count())
+
+
 def components(edges: DataFrame, store: Store, name: str) -> DataFrame:
     """(v, comp) for every vertex v that is not its component's least vertex; comp is that least vertex.
 
@@ -22,12 +28,9 @@ def components(edges: DataFrame, store: Store, name: str) -> DataFrame:
     An empty table gives an empty table.
     """
     now = store.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    seen, step = None, 0
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not mark[0] or tuple(mark) == seen:
-            return now.select(F.col("u").alias("v"), F.col("v").alias("comp"))
-        seen, step = tuple(mark), step + 1
+    step = 0
+    while _unsettled(now):
+        step += 1
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, "u", "v").where("v > c").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = store.save(large, f"{name}-{step}-large")
@@ -36,3 +39,4 @@ def components(edges: DataFrame, store: Store, name: str) -> DataFrame:
         small = store.save(small, f"{name}-{step}")
         store.drop(f"{name}-{step}-large", f"{name}-{step - 1}")
         now = small
+    return now.select(F.col("u").alias("v"), F.col("v").alias("comp"))

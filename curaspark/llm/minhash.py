@@ -11,7 +11,7 @@ and has beyond h. If x and y share nothing beyond h, they have at most |h| - max
 |h| - min(A) + E + E together: pairs for which this bound stays under the limit need no test, and those few over it are
 tested. All others share something beyond h, so they meet again in buckets by hub and shared shingle, without h; each
 text enters only as many of them, rarest first, as the overlap it needs leaves open. Buckets of up to `SMALL` texts,
-a bound that doubles with each turn, then test their pairs across components, larger ones name a hub again, until every
+a bound that grows fourfold with each turn, then test their pairs across components, larger ones name a hub again, until every
 bucket is one component: no link of a bucket is lost.
 
 Defined results: null, empty and white-space texts have no shingles and stay alone; a text of fewer words than a
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from curaspark.llm.common import Store, mix64, word_hashes
 from curaspark.llm.components import components
 
-SMALL = 24
+SMALL = 64
 BANDS, ROWS = 30, 5  # at a similarity of 0.8 a pair shares no band with probability 6.7e-6
 #: Odd multipliers, any will do.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
@@ -110,27 +110,28 @@ def _sets(width: int):
 
 
 def _against_hub(percent: int):
-    """Tests x against its hub: a, b, whether they link, sizes of the hub, of A and E, and the shingles to meet by."""
-    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("h", pa.int64()), ("lacks", pa.int64()), ("beyond", pa.int64()), ("meet", pa.list_(pa.int64()))])
+    """Tests x against its hub: whether they link, sizes of the hub, of A and E, and the shingles to meet by."""
+    schema = pa.schema([("hub", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("h", pa.int64()), ("lacks", pa.int64()), ("beyond", pa.int64()), ("crowd", pa.bool_()), ("hub_comp", pa.int64()), ("comp", pa.int64()), ("meet", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[] for _ in schema]
-            for hub, rep, many, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            narrow = [batch.column(i).to_pylist() for i in (0, 1, 2, 5, 6, 7)]
+            for hub, rep, many, crowd, hub_comp, comp, x, y in zip(*narrow, batch.column(3), batch.column(4), strict=True):
                 own, centre = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.searchsorted(centre, own)
                 inside = centre[np.minimum(at, len(centre) - 1)] == own
                 same = int(inside.sum())
                 linked = 100 * same >= percent * (len(own) + len(centre) - same)
                 meet = own[~inside].view(np.int64) if many else np.zeros(0, np.int64)
-                for col, value in zip(out, (hub, rep, len(own), linked, len(centre), len(centre) - same, len(own) - same, meet), strict=True):
+                for col, value in zip(out, (hub, rep, len(own), linked, len(centre), len(centre) - same, len(own) - same, crowd, hub_comp, comp, meet), strict=True):
                     col.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
 
-_TESTED = "hub long, rep long, n long, linked boolean, h long, lacks long, beyond long, meet array<long>"
+_TESTED = "hub long, rep long, n long, linked boolean, h long, lacks long, beyond long, crowd boolean, hub_comp long, comp long, meet array<long>"
 
 
 def _open(state: DataFrame, by: str) -> DataFrame:
@@ -138,10 +139,35 @@ def _open(state: DataFrame, by: str) -> DataFrame:
     return state.groupBy(by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(by)
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _tests(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each pair (hub, rep) tested on full sets; shingles beyond the hub come only where a hub has a crowd to part."""
+    crowds = pairs.groupBy("hub").agg((F.count_if("crowd") > 1).alias("many"))
+    left = pairs.join(sets.select("rep", F.col("shingles").alias("x")), "rep")
+    full = left.join(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("y")).join(crowds, "hub"), "hub")
+    return full.select("hub", "rep", (F.col("many") & F.col("crowd")).alias("many"), "x", "y", "crowd", "hub_comp", "comp").mapInArrow(_against_hub(percent), _TESTED)
+
+
+def _joined(links: DataFrame, labels: DataFrame | None, store: Store, name: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """Labels after links between components, and which components got another label; None where nothing changed."""
+    links = store.save(links.select(F.col("hub_comp").alias("a"), F.col("comp").alias("b")), name)
+    if not links.limit(1).count():
+        return labels, None
+    delta = components(links, store, f"{name}-parts")
     if labels is None:
-        return rows.withColumn("comp", F.col("rep"))
-    return rows.join(labels, rows.rep == labels.v, "left").select(*rows.columns, F.coalesce("comp", "rep").alias("comp"))
+        return delta, delta
+    moved = labels.join(delta.select(F.col("v").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("v", F.coalesce("new", "comp").alias("comp"))
+    return store.save(moved.unionAll(delta), f"{name}-labels"), delta
+
+
+def _turn_pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a turn: hubs of large buckets with every member, and pairs across components of small buckets."""
+    live = members.join(hubs, "key")
+    crowded = live.where("large and rep <> hub").select("hub", "rep", F.lit(True).alias("crowd"), "hub_comp", "comp")
+    x, y = live.where("not large").alias("x"), live.where("not large").select("key", "rep", "n", "comp").alias("y")
+    sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & sized
+    few = x.join(y, across).select(F.col("x.rep").alias("hub"), F.col("y.rep").alias("rep"), F.lit(False).alias("crowd"), F.col("x.comp").alias("hub_comp"), F.col("y.comp").alias("comp"))
+    return crowded.unionAll(few).groupBy("hub", "rep").agg(F.max("crowd").alias("crowd"), F.first("hub_comp").alias("hub_comp"), F.first("comp").alias("comp"))
 
 
 def _least_gain(around: DataFrame) -> DataFrame:
@@ -150,7 +176,7 @@ def _least_gain(around: DataFrame) -> DataFrame:
 
 
 def _meetings(around: DataFrame, percent: int) -> DataFrame:
-    """Buckets by hub and a shingle beyond it, of each text's rarest ones only: key, rep, n, far.
+    """Buckets by hub and a shingle beyond it, of each text's rarest ones only: key, rep, n, far, comp.
 
     If x and y link and x lacks at least as much as y, the shared part beyond the hub has at least
     (100 A + percent (E + g) - (100 - percent) h) / (100 + percent) shingles, g the least E - A around the hub; with y
@@ -161,8 +187,8 @@ def _meetings(around: DataFrame, percent: int) -> DataFrame:
     take = F.greatest(F.lit(0), F.col("beyond") - need + 1).cast("int")
     rows = around.join(_least_gain(around), "hub").select("hub", "rep", "n", take.alias("take"), "beyond", "comp", F.explode("meet").alias("s")).where("take > 0")
     often = rows.groupBy("hub", "s").agg(F.count("*").alias("c"), (F.min("comp") < F.max("comp")).alias("mixed"))
-    ranked = rows.join(often, ["hub", "s"]).groupBy("hub", "rep", "n", "take", "beyond").agg(F.sort_array(F.collect_list(F.struct("c", "s", "mixed"))).alias("m"))
-    return ranked.select("hub", "rep", "n", "beyond", F.explode(F.slice("m", F.lit(1), F.col("take"))).alias("m")).where("m.mixed").select(F.xxhash64("hub", "m.s").alias("key"), "rep", "n", F.col("beyond").alias("far"))
+    ranked = rows.join(often, ["hub", "s"]).groupBy("hub", "rep", "n", "take", "beyond", "comp").agg(F.sort_array(F.collect_list(F.struct("c", "s", "mixed"))).alias("m"))
+    return ranked.select("hub", "rep", "n", "beyond", "comp", F.explode(F.slice("m", F.lit(1), F.col("take"))).alias("m")).where("m.mixed").select(F.xxhash64("hub", "m.s").alias("key"), "rep", "n", F.col("beyond").alias("far"), "comp")
 
 
 def _bound_pairs(tested: DataFrame, percent: int) -> DataFrame:
@@ -174,8 +200,9 @@ def _bound_pairs(tested: DataFrame, percent: int) -> DataFrame:
     union = F.col("x.h") - F.least("x.lacks", "y.lacks") + F.col("x.beyond") + F.col("y.beyond")
     sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
     both = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & sized & (100 * common >= percent * union))
-    pairs = both.select(F.col("x.rep").alias("a"), F.col("x.n").alias("na"), F.col("y.rep").alias("b"), F.col("y.n").alias("nb")).distinct()
-    return pairs.select(F.xxhash64("a", "b", F.lit("pair")).alias("key"), F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("na").alias("n")), F.struct(F.col("b").alias("rep"), F.col("nb").alias("n")))).alias("m")).select("key", "m.rep", "m.n", F.lit(0).cast("long").alias("far"))
+    pairs = both.select(*(F.col(f"{w}.{c}").alias(f"{w}_{c}") for w in "xy" for c in ("rep", "n", "comp"))).distinct()
+    ends = F.array(*(F.struct(*(F.col(f"{w}_{c}").alias(c) for c in ("rep", "n", "comp"))) for w in "xy"))
+    return pairs.select(F.xxhash64("x_rep", "y_rep", F.lit("pair")).alias("key"), F.explode(ends).alias("m")).select("key", "m.rep", "m.n", F.lit(0).cast("long").alias("far"), "m.comp")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -188,43 +215,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     signed = store.save(texts.mapInArrow(_signed(shingle_words, bands, rows), "doc_id long, n_shingles long, node binary, bands array<long>"), "signed")
     nodes = store.save(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.where("rep is not null").select("rep", "n", F.explode("bands").alias("key"))
-    shared = store.save(banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key"), "shared")
-    members = store.save(banded.join(shared, "key").select("key", "rep", "n", F.lit(0).cast("long").alias("far")), "members-0")
+    shared = store.save(banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("hi")).where("hub < hi").select("key", "hub"), "shared")
+    members = store.save(banded.join(shared, "key").select("rep", "hub").distinct(), "banded")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = store.save(texts.join(wanted, "doc_id").mapInArrow(_sets(shingle_words), "rep long, shingles binary"), "sets")
+    pairs = members.where("rep <> hub").select("hub", "rep", F.lit(True).alias("crowd"), F.col("hub").alias("hub_comp"), F.col("rep").alias("comp"))
 
     labels, turn = None, 0
     while True:
-        state = store.save(_labelled(members, labels), f"state-{turn}")
-        open_keys = store.save(_open(state, "key"), f"open-{turn}")
-        if not open_keys.count():
-            break
-        live = store.save(state.join(open_keys, "key"), f"live-{turn}")
-        large = (F.col("size") > SMALL * 2 ** (turn - 1)) if turn else F.lit(True)
-        hubs = store.save(live.groupBy("key").agg(F.min_by("rep", F.struct("far", "rep")).alias("hub"), F.count("*").alias("size")).select("key", "hub", large.alias("large")), f"hubs-{turn}")
-        crowded = live.join(hubs.where("large"), "key").where("rep <> hub").select("hub", "rep")
-        small = live.join(hubs.where("not large").select("key"), "key")
-        x, y = small.alias("x"), small.alias("y")
-        sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-        few = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & sized).select(F.col("x.rep").alias("hub"), F.col("y.rep").alias("rep"))
-        pairs = crowded.withColumn("crowd", F.lit(True))
-        if turn:
-            pairs = pairs.unionAll(few.withColumn("crowd", F.lit(False)))
-        pairs = store.save(pairs.groupBy("hub", "rep").agg(F.max("crowd").alias("crowd")), f"pairs-{turn}")
-        crowds = pairs.groupBy("hub").agg((F.count_if("crowd") > 1).alias("many"))
-        left = pairs.join(sets.select("rep", F.col("shingles").alias("x")), "rep")
-        full = left.join(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("y")).join(crowds, "hub"), "hub")
-        tested = store.save(full.select("hub", "rep", (F.col("many") & F.col("crowd")).alias("many"), "x", "y").mapInArrow(_against_hub(percent), _TESTED), f"tested-{turn}")
-        links = tested.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-        if labels is not None:
-            links = links.unionAll(labels.select(F.col("comp").alias("a"), F.col("v").alias("b")))
-        labels = components(links, store, f"links-{turn}")
-        around = store.save(_labelled(tested.join(pairs.where("crowd").select("hub", "rep"), ["hub", "rep"]), labels), f"around-{turn}")
-        mixed = store.save(_open(around, "hub"), f"mixed-{turn}")
-        around = around.join(mixed, "hub")
-        members = store.save(_meetings(around, percent).unionAll(_bound_pairs(around, percent)), f"members-{turn + 1}")
-        store.drop(f"members-{turn}", f"state-{turn}", f"open-{turn}", f"live-{turn}", f"hubs-{turn}", f"pairs-{turn}", f"tested-{turn}", f"around-{turn}", f"mixed-{turn}")
+        tested = store.save(_tests(pairs, sets, percent), f"tested-{turn}")
+        labels, delta = _joined(tested.where("linked and hub_comp <> comp"), labels, store, f"links-{turn}")
+        around = tested.where("crowd")
+        if delta is not None:
+            around = around.join(delta.select(F.col("v").alias("comp"), F.col("comp").alias("new")), "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
+        around = store.save(around, f"around-{turn}")
+        around = around.join(store.save(_open(around, "hub"), f"mixed-{turn}"), "hub")
         turn += 1
+        members = store.save(_meetings(around, percent).unionAll(_bound_pairs(around, percent)), f"members-{turn}")
+        hubs = members.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("hub"), F.col("comp").alias("hub_comp")), F.struct("far", "rep")).alias("h"), F.count("*").alias("size"), (F.min("comp") < F.max("comp")).alias("mixed"))
+        hubs = store.save(hubs.where("mixed").select("key", "h.*", (F.col("size") > SMALL * 4 ** (turn - 1)).alias("large")), f"hubs-{turn}")
+        store.drop(f"tested-{turn - 1}", f"around-{turn - 1}", f"mixed-{turn - 1}", *([f"members-{turn - 1}", f"hubs-{turn - 1}"] if turn > 1 else ["banded"]))
+        if not hubs.limit(1).count():
+            break
+        pairs = _turn_pairs(members, hubs, percent)
 
     found = signed.where("node is not null").join(nodes.select("node", "rep"), "node").select("doc_id", "n_shingles", "rep")
     if labels is not None:
