@@ -1,0 +1 @@
+"""Event-cluster curation analytics as PySpark DataFrame programs."""
