@@ -134,11 +134,6 @@ def _against_hub(percent: int):
 _TESTED = "hub long, rep long, n long, linked boolean, h long, lacks long, beyond long, crowd boolean, hub_comp long, comp long, meet array<long>"
 
 
-def _open(state: DataFrame, by: str) -> DataFrame:
-    """Values of `by` whose rows are in several components."""
-    return state.groupBy(by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(by)
-
-
 def _tests(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Each pair (hub, rep) tested on full sets; shingles beyond the hub come only where a hub has a crowd to part."""
     crowds = pairs.groupBy("hub").agg((F.count_if("crowd") > 1).alias("many"))
@@ -170,9 +165,9 @@ def _turn_pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     return crowded.unionAll(few).groupBy("hub", "rep").agg(F.max("crowd").alias("crowd"), F.first("hub_comp").alias("hub_comp"), F.first("comp").alias("comp"))
 
 
-def _least_gain(around: DataFrame) -> DataFrame:
-    """Per hub the least of E - A over its members, at most 0 (the hub's own)."""
-    return around.groupBy("hub").agg(F.least(F.lit(0), F.min(F.col("beyond") - F.col("lacks"))).alias("g"))
+def _mixed(around: DataFrame) -> DataFrame:
+    """Hubs whose members are in several components, with the least of E - A over them, at most 0 (the hub's own)."""
+    return around.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.least(F.lit(0), F.min(F.col("beyond") - F.col("lacks"))).alias("g")).where("lo < hi").select("hub", "g")
 
 
 def _meetings(around: DataFrame, percent: int) -> DataFrame:
@@ -185,7 +180,7 @@ def _meetings(around: DataFrame, percent: int) -> DataFrame:
     need = F.ceil((100 * F.col("lacks") + percent * (F.col("beyond") + F.col("g")) - (100 - percent) * F.col("h")) / (100 + percent))
     need = F.greatest(F.lit(1), need, F.ceil(percent * F.col("n") / 100) - (F.col("n") - F.col("beyond")))
     take = F.greatest(F.lit(0), F.col("beyond") - need + 1).cast("int")
-    rows = around.join(_least_gain(around), "hub").select("hub", "rep", "n", take.alias("take"), "beyond", "comp", F.explode("meet").alias("s")).where("take > 0")
+    rows = around.select("hub", "rep", "n", take.alias("take"), "beyond", "comp", F.explode("meet").alias("s")).where("take > 0")
     often = rows.groupBy("hub", "s").agg(F.count("*").alias("c"), (F.min("comp") < F.max("comp")).alias("mixed"))
     ranked = rows.join(often, ["hub", "s"]).groupBy("hub", "rep", "n", "take", "beyond", "comp").agg(F.sort_array(F.collect_list(F.struct("c", "s", "mixed"))).alias("m"))
     return ranked.select("hub", "rep", "n", "beyond", "comp", F.explode(F.slice("m", F.lit(1), F.col("take"))).alias("m")).where("m.mixed").select(F.xxhash64("hub", "m.s").alias("key"), "rep", "n", F.col("beyond").alias("far"), "comp")
@@ -193,8 +188,8 @@ def _meetings(around: DataFrame, percent: int) -> DataFrame:
 
 def _bound_pairs(tested: DataFrame, percent: int) -> DataFrame:
     """Buckets of two for pairs around a hub that may link though they share nothing beyond it."""
-    near = tested.where(100 * (F.col("n") - F.col("beyond")) >= percent * F.col("n")).select("hub", "rep", "n", "comp", "h", "lacks", "beyond")
-    near = near.join(_least_gain(tested), "hub").where(100 * (F.col("h") - F.col("lacks")) >= percent * (F.col("h") + F.col("beyond") + F.col("g")))
+    near = tested.where(100 * (F.col("n") - F.col("beyond")) >= percent * F.col("n")).select("hub", "rep", "n", "comp", "h", "lacks", "beyond", "g")
+    near = near.where(100 * (F.col("h") - F.col("lacks")) >= percent * (F.col("h") + F.col("beyond") + F.col("g")))
     x, y = near.alias("x"), near.alias("y")
     common = F.col("x.h") - F.greatest("x.lacks", "y.lacks")
     union = F.col("x.h") - F.least("x.lacks", "y.lacks") + F.col("x.beyond") + F.col("y.beyond")
@@ -229,7 +224,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         if delta is not None:
             around = around.join(delta.select(F.col("v").alias("comp"), F.col("comp").alias("new")), "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new")
         around = store.save(around, f"around-{turn}")
-        around = around.join(store.save(_open(around, "hub"), f"mixed-{turn}"), "hub")
+        around = around.join(store.save(_mixed(around), f"mixed-{turn}"), "hub")
         turn += 1
         members = store.save(_meetings(around, percent).unionAll(_bound_pairs(around, percent)), f"members-{turn}")
         hubs = members.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("hub"), F.col("comp").alias("hub_comp")), F.struct("far", "rep")).alias("h"), F.count("*").alias("size"), (F.min("comp") < F.max("comp")).alias("mixed"))
