@@ -117,7 +117,7 @@ def _met(x: np.ndarray, rule: tuple[Condition, ...]) -> np.ndarray:
 def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY, seed: int = 7) -> Model:
     """Rules from boosted trees on random halves, weighed by lasso logistic regression (proximal gradient)."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         edge = min(max(share, 1e-3), 1 - 1e-3) if len(y) else 0.5
         return Model(float(np.log(edge / (1 - edge))), [])
     random = np.random.default_rng(seed)
