@@ -64,7 +64,7 @@ def _words(text: str | None) -> list[bytes]:
 
 def _slices(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.zeros(0, np.int64)
-    return starts, np.r_[starts[1:], len(sorted_values)].astype(np.int64)
+    return starts, np.r_[starts[1:], len(sorted_values)].astype(np.int64)[: len(starts)]
 
 
 def _by_owner(owner: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
