@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from curaspark.llm import extract, hostrules, jpeg, minhash, packing, pieces, rulefit, substring, urlfilter, warc
 from curaspark.llm.common import table
+from curaspark.llm.oracles import ORACLE  # noqa: F401  (registered with the queries)
 
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -67,5 +68,3 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_minhash": op10_minhash,
 }
-
-ORACLE: dict[str, str] = {}
