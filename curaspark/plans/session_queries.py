@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curaspark.functions import arrays, text
-from curaspark.operators import alignment, curation, datasets, matching, retrieval, state, summaries, units
+from curaspark.operators import alignment, curation, datasets, matching, pipelines, retrieval, state, summaries, units
 from curaspark.plans.unit_queries import SPIKES, TREF, rounded
 from curaspark.sources.tables import merge_tree, spikes, table, waves
 
@@ -409,3 +409,39 @@ def budget_projection(spark, sf_dir):
     cost = text.cost(F.col("o_custkey") % 900, F.lit(0), F.lit(50), F.lit(2.0), F.lit(0.0), F.lit(8.0))
     rows = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", cost.alias("avg_cost_usd"))
     return summaries.projected_budget(rows, 4, 200).select("o_orderkey", F.col("projected_cost_usd").alias("projected"))
+
+
+@query()
+def curation_pipeline(spark, sf_dir):
+    s = spikes(spark, sf_dir)
+    tree = merge_tree(s)
+    return pipelines.curated(state.replayed(s, tree), tree, pipelines.by_purity(0.21), pipelines.by_dominant(), 50, 64, 70)
+
+
+@query()
+def student_evaluation(spark, sf_dir):
+    s = spikes(spark, sf_dir)
+    tree = merge_tree(s)
+    return pipelines.student_predictions(state.replayed(s, tree), tree, lambda session, cluster: "KEEP" if session.size(cluster) % 2 else "SPLIT", 0.21)
+
+
+@query(f"""WITH {SPIKES}, k0 AS (SELECT channel_id, cl FROM spikes GROUP BY ALL HAVING count(*) >= 58), f AS (SELECT s.channel_id, s.spike_id, s.t, CASE WHEN k0.cl IS NULL THEN 0 ELSE s.cl END AS cl FROM spikes s LEFT JOIN k0 USING (channel_id, cl)),
+sz AS (SELECT channel_id, cl, count(*) AS n FROM f WHERE cl <> 0 GROUP BY ALL), p AS (SELECT a.channel_id, a.cl AS a, b.cl AS b, round(1.0 - abs(b.n - a.n) / 100.0, 9) AS corr FROM sz a JOIN sz b USING (channel_id) WHERE a.n < 68 AND b.n >= 68),
+e AS (SELECT channel_id, a, b, UNNEST([a, b]) AS cl FROM p), i AS (SELECT e.channel_id, a, b, t - lag(t) OVER (PARTITION BY e.channel_id, a, b ORDER BY t) AS isi FROM f JOIN e ON f.channel_id = e.channel_id AND f.cl = e.cl), mi AS (SELECT channel_id, a, b, count(*) FILTER (isi < 3600.0) / (count(*) - 1) AS m FROM i GROUP BY ALL),
+oi AS (SELECT channel_id, cl, t - lag(t) OVER (PARTITION BY channel_id, cl ORDER BY t) AS isi FROM f), r AS (SELECT channel_id, cl, CASE WHEN count(*) > 1 THEN count(*) FILTER (isi < 3600.0) / (count(*) - 1) ELSE 0 END AS r FROM oi GROUP BY ALL),
+bp AS (SELECT p.*, m, row_number() OVER (PARTITION BY p.channel_id, p.a ORDER BY corr DESC, p.b) AS k FROM p JOIN mi USING (channel_id, a, b)),
+act AS (SELECT sz.channel_id, sz.cl, CASE WHEN NOT (r > 0.1 AND n < 60) AND corr > 0.3 AND m < 0.17 THEN b ELSE 0 END AS new FROM sz JOIN r USING (channel_id, cl) LEFT JOIN bp ON bp.channel_id = sz.channel_id AND bp.a = sz.cl AND bp.k = 1 WHERE n < 68),
+g AS (SELECT f.channel_id, f.spike_id, CASE WHEN act.cl IS NOT NULL THEN act.new ELSE f.cl END AS cl FROM f LEFT JOIN act ON act.channel_id = f.channel_id AND act.cl = f.cl), fin AS (SELECT channel_id, cl FROM g WHERE cl <> 0 GROUP BY ALL HAVING count(*) >= 75)
+SELECT g.channel_id, g.spike_id, CAST(CASE WHEN fin.cl IS NULL THEN 0 ELSE g.cl END AS BIGINT) AS cl FROM g LEFT JOIN fin USING (channel_id, cl)""")
+def heuristic_pipeline(spark, sf_dir):
+    s = spikes(spark, sf_dir)
+    sizes = matching.size_classes(curation.size_filtered(s, 58), 68)
+    similarity = matching.small_large_pairs(sizes).select("channel_id", "small", "large", F.round(1.0 - F.abs(F.col("n_large") - F.col("n_small")) / 100.0, 9).alias("corr"))
+    return pipelines.heuristic_labels(s, similarity, TREF, 58, 68, 75, most_isi=0.17, early_n=60).select("channel_id", "spike_id", "cl")
+
+
+@query()
+def training_pairs(spark, sf_dir):
+    s = spikes(spark, sf_dir)
+    pairs = matching.small_large_pairs(matching.size_classes(s, 70)).select("channel_id", "small", "large")
+    return pipelines.training_pairs(s, pairs.where("(small + large) % 11 = 0"), 70)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curaspark.functions import arrays, text
-from curaspark.operators import alignment, curation, datasets, extras, matching, retrieval, state, summaries, units
+from curaspark.operators import alignment, curation, datasets, extras, matching, pipelines, retrieval, state, summaries, units
 from curaspark.sources import files
 
 LABELS = "channel_id long, cl long, gt long"
@@ -258,3 +258,32 @@ def test_principal_components_match_numpy(spark):
     c = x - x.mean(0)
     u, s, _ = np.linalg.svd(c, full_matrices=False)
     assert np.allclose(np.abs(got), np.abs(u[:, :2] * s[:2]), atol=1e-6)
+
+
+def channel():
+    counts = pd.DataFrame({"oc": [1, 2, 3, 4, 5], "gt": [1, 2, 1, 0, 2], "n": [100, 90, 8, 30, 5]})
+    return state.Session(counts, {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}, [(1, 2, 0.9)])
+
+
+def test_phases_in_order():
+    s = channel()
+    log = pipelines.run_phases(s, pipelines.by_purity(0.8), pipelines.by_dominant(), least=6, large=50, final=10)
+    assert log == [("Phase0", 5, None, "DISCARD"), ("Phase1", 1, 2, "SPLIT"), ("Phase1", 1, None, "KEEP"), ("Phase1", 2, None, "KEEP"), ("Phase1", 3, None, "KEEP"), ("Phase1", 4, None, "DISCARD"), ("Phase2", 3, 1, "MERGE")]
+    assert s.active() == [1, 2] and s.size(1) == 108
+
+
+def test_small_clusters_go_without_a_large_one():
+    s = channel()
+    log = pipelines.run_phases(s, lambda *_: "KEEP", lambda *_: "NOT_MERGE", least=1, large=1000, final=1)
+    assert [x[3] for x in log if x[0] == "Phase2"] == ["DISCARD"] * 4 and not s.active()
+
+
+def test_sheets_skip_what_is_gone():
+    s = channel()
+    got = pipelines.replay_sheet(s, [("split", 1, None), ("discard", 4, None), ("discard", 4, None), ("merge", 3, 1), ("split", 2, None)])
+    assert [g[4] for g in got] == [True, True, False, True, False] and s.active() == [1, 2, 5]
+
+
+def test_students_are_scored_under_forcing():
+    got = pipelines.evaluate_student(channel(), lambda s, c: "KEEP")
+    assert [(g[2], g[4]) for g in got] == [(1, "SPLIT"), (3, "MERGE"), (4, "DISCARD"), (5, "MERGE"), (2, "KEEP")]
