@@ -41,43 +41,55 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _PartIds(dict):
-    """Ids of one part of the tokenizer's own split, straight from its merges."""
+class _Recent(dict):
+    """A bounded memo of two generations: what was used since the last turn survives the next one."""
 
-    def __init__(self, tokenizer, limit: int):
-        self.tokenize, self.limit, self.letters = tokenizer.model.tokenize, limit, _byte_letters()
+    def __init__(self, limit: int):
+        self.limit, self.before = limit, {}
 
-    def __missing__(self, part: str) -> bytes:
+    def __missing__(self, key):
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
+        found = self.before.get(key)
+        if found is None:
+            found = self.made(key)
+        if len(key) < 64:
+            self[key] = found
+        return found
+
+
+class _PartIds(_Recent):
+    """Ids of one part of the tokenizer's own split, straight from its merges."""
+
+    def __init__(self, tokenizer, limit: int):
+        super().__init__(limit)
+        self.tokenize, self.letters = tokenizer.model.tokenize, _byte_letters()
+
+    def made(self, part: str) -> bytes:
         form = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-        ids = self[part] = pack(f"<{len(found := self.tokenize(form))}I", *[t.id for t in found])
-        return ids
+        found = self.tokenize(form)
+        return pack(f"<{len(found)}I", *[t.id for t in found])
 
 
-class _WordIds(dict):
+class _WordIds(_Recent):
     """Ids of a white-space-free stretch as little-endian bytes; the tokenizer treats such stretches one by one.
 
     Plain stretches are split here and only their parts go to the tokenizer's merges; any other goes through it whole.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
+        super().__init__(limit)
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.parts, self.limit = tokenizer.encode, _PartIds(tokenizer, limit), limit
+        self.encode, self.parts = tokenizer.encode, _PartIds(tokenizer, limit)
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
+    def made(self, word: bytes) -> bytes:
         text = word.decode()
         if _PLAIN(text) and "<|" not in text:
-            ids = b"".join([self.parts[p] for p in _PARTS(text.lower())])
-        else:
-            ids = np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+            return b"".join([self.parts[p] for p in _PARTS(text.lower())])
+        return pack(f"<{len(ids := self.encode(text, add_special_tokens=False).ids)}I", *ids)
 
 
 def token_bytes(words: _WordIds, text: str | None) -> bytes:
