@@ -142,3 +142,26 @@ def chat(rows: DataFrame) -> DataFrame:
     message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
     return rows.withColumn("messages", F.array(message("user", "prompt"), message("assistant", "answer")))
 
+
+
+def cluster_prompt(n_spikes: Column, isi_rate: Column, amplitude_cv: Column, n_overclusters: Column) -> Column:
+    """The question of phase 1 about one cluster, from its metrics."""
+    form = "Cluster of %d events: %.4f of its intervals violate the refractory time, amplitude CV %.4f, %d fine labels. Answer KEEP, DISCARD or SPLIT."
+    return F.format_string(form, n_spikes, isi_rate, amplitude_cv, n_overclusters)
+
+
+def merge_prompt(n_small: Column, n_large: Column, correlation: Column, merged_isi: Column) -> Column:
+    """The question of phase 2 about a small and a large cluster."""
+    form = "Clusters of %d and %d events correlate at %.4f; together %.4f of their intervals violate the refractory time. Answer MERGE, NOT_MERGE or DISCARD."
+    return F.format_string(form, n_small, n_large, correlation, merged_isi)
+
+
+#: What a teacher looks at first, by style.
+CRITERIA = {"strict": "Weigh contamination first.", "lenient": "Weigh lost events first.", "balanced": "Weigh contamination and lost events alike."}
+
+
+def criteria(style: Column) -> Column:
+    out = F.lit(CRITERIA["balanced"])
+    for name, words in CRITERIA.items():
+        out = F.when(F.lower(style) == name, words).otherwise(out)
+    return out

@@ -71,3 +71,9 @@ def balanced_keeps(steps: DataFrame, by: list[str]) -> DataFrame:
     """Clusters that no expert step touches, as KEEP samples."""
     touched = steps.where("gt_action <> 'KEEP'").select(*by, "cluster_id").distinct()
     return steps.join(touched, [*by, "cluster_id"], "left_anti").withColumn("gt_action", F.lit("KEEP"))
+
+
+def within_bounds(rows: DataFrame, frame: str, before: int, after: int, n_frames: Column | int) -> DataFrame:
+    """Rows whose snippet from `before` frames ahead to `after` behind lies in the recording."""
+    last = n_frames if isinstance(n_frames, Column) else F.lit(n_frames)
+    return rows.where((F.col(frame) >= before) & (F.col(frame) + after < last))

@@ -287,3 +287,15 @@ def test_sheets_skip_what_is_gone():
 def test_students_are_scored_under_forcing():
     got = pipelines.evaluate_student(channel(), lambda s, c: "KEEP")
     assert [(g[2], g[4]) for g in got] == [(1, "SPLIT"), (3, "MERGE"), (4, "DISCARD"), (5, "MERGE"), (2, "KEEP")]
+
+
+def test_prompts_and_bounds(spark):
+    row = spark.range(1).select(
+        text.cluster_prompt(F.lit(12), F.lit(0.25), F.lit(0.5), F.lit(3)).alias("a"),
+        text.merge_prompt(F.lit(1), F.lit(2), F.lit(0.5), F.lit(0.0)).alias("b"),
+        text.criteria(F.lit("STRICT")).alias("c"),
+        text.criteria(F.lit("other")).alias("d"),
+    ).first()
+    assert "12 events: 0.2500" in row.a and "correlate at 0.5000" in row.b
+    assert row.c == text.CRITERIA["strict"] and row.d == text.CRITERIA["balanced"]
+    assert [r.id for r in datasets.within_bounds(spark.range(10), "id", 2, 3, 10).collect()] == [2, 3, 4, 5, 6]
