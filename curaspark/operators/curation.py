@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curaspark.operators.matching import NOISE, UNIT, argmax_by, overlap
+from curaspark.operators.matching import NOISE, UNIT, overlap
 
 
 def size_filter(spikes: DataFrame, least: int) -> DataFrame:
@@ -37,9 +37,10 @@ def small_fine_labels_cleared(spikes: DataFrame, least: int) -> DataFrame:
 def purity(labels: DataFrame) -> DataFrame:
     """Dominant true unit of each cluster (noise never dominates) over all its events, noise included."""
     table = overlap(labels.where(F.col("cl") != NOISE))
-    sums = table.groupBy(*UNIT).agg(F.sum("n").alias("n_spikes"), F.sum(F.when(F.col("gt") == NOISE, F.col("n")).otherwise(0)).alias("n_noise"))
-    top = argmax_by(table.where(F.col("gt") != NOISE), UNIT, "n", "gt").select(*UNIT, F.col("gt").alias("dominant_gt"), F.col("n").alias("dominant_n"))
-    return sums.join(top, UNIT, "left").withColumn("purity", F.coalesce(F.col("dominant_n") / F.col("n_spikes"), F.lit(0.0)))
+    noise = F.col("gt") == NOISE
+    top = F.max_by(F.struct("gt", "n"), F.when(~noise, F.struct(F.col("n"), -F.col("gt"))))
+    got = table.groupBy(*UNIT).agg(F.sum("n").alias("n_spikes"), F.sum(F.when(noise, F.col("n")).otherwise(0)).alias("n_noise"), top.alias("b"))
+    return got.select(*UNIT, "n_spikes", "n_noise", F.col("b.gt").alias("dominant_gt"), F.col("b.n").alias("dominant_n"), F.coalesce(F.col("b.n") / F.col("n_spikes"), F.lit(0.0)).alias("purity"))
 
 
 def oracle_actions(labels: DataFrame, threshold: float = 0.8) -> DataFrame:

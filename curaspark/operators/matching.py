@@ -35,20 +35,19 @@ def _guarded(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0)
 
 
-def best_matches(labels: DataFrame) -> DataFrame:
-    """Each cluster with the true unit it overlaps most, counts and scores; null if it has noise only."""
-    table = overlap(labels.where(F.col("cl") != NOISE))
-    sizes = table.groupBy(*UNIT).agg(F.sum("n").alias("n_curated"))
-    units = overlap(labels).where(F.col("gt") != NOISE).groupBy("channel_id", "gt").agg(F.sum("n").alias("n_gt"))
-    best = argmax_by(table.where(F.col("gt") != NOISE), UNIT, "n", "gt").withColumnRenamed("n", "tp")
-    got = sizes.join(best, UNIT, "left").join(units, ["channel_id", "gt"], "left")
-    n, g = F.col("n_curated"), F.coalesce("n_gt", F.lit(0))
-    tp = F.coalesce("tp", F.lit(0))
+def _scored(labels: DataFrame) -> DataFrame:
+    """best_matches() with the channel's true events; one scan, everything after it works on the contingency."""
+    total = F.sum(F.when(F.col("gt") != NOISE, F.col("n"))).over(Window.partitionBy("channel_id"))
+    table = overlap(labels).withColumn("n_gt", F.sum("n").over(Window.partitionBy("channel_id", "gt"))).withColumn("channel_gt", total)
+    rank = F.when(F.col("gt") != NOISE, F.struct(F.col("n"), -F.col("gt")))
+    best = F.max_by(F.struct("gt", "n", "n_gt"), rank)
+    got = table.where(F.col("cl") != NOISE).groupBy(*UNIT).agg(F.sum("n").alias("n_curated"), best.alias("b"), F.max("channel_gt").alias("channel_gt"))
+    n, g, tp = F.col("n_curated"), F.coalesce("b.n_gt", F.lit(0)), F.coalesce("b.n", F.lit(0))
     precision, recall = _guarded(tp.cast("double"), n), _guarded(tp.cast("double"), g)
     return got.select(
         "channel_id",
         F.col("cl").alias("curated_id"),
-        F.col("gt").alias("matched_gt_id"),
+        F.col("b.gt").alias("matched_gt_id"),
         _guarded(tp.cast("double"), F.greatest(n, g)).alias("agreement"),
         n.alias("n_curated_spikes"),
         g.cast("bigint").alias("n_gt_spikes"),
@@ -58,27 +57,31 @@ def best_matches(labels: DataFrame) -> DataFrame:
         precision.alias("precision"),
         recall.alias("recall"),
         _guarded(2 * precision * recall, precision + recall).alias("f1_score"),
+        F.coalesce("channel_gt", F.lit(0)).alias("channel_gt"),
     )
 
 
+def best_matches(labels: DataFrame) -> DataFrame:
+    """Each cluster with the true unit it overlaps most, counts and scores; null if it has noise only."""
+    return _scored(labels).drop("channel_gt")
+
+
 def overall_performance(labels: DataFrame) -> DataFrame:
     """Per channel: micro scores with the global miss count, macro means and matched clusters."""
-    best = best_matches(labels)
-    truth = labels.where(F.col("gt") != NOISE).groupBy("channel_id").agg(F.count("*").alias("total_gt_spikes"))
-    sums = best.groupBy("channel_id").agg(
+    sums = _scored(labels).groupBy("channel_id").agg(
         F.count("*").alias("n_curated"),
         F.count("matched_gt_id").alias("n_matched"),
         F.sum("tp").alias("total_tp"),
         F.sum("fp").alias("total_fp"),
+        F.max("channel_gt").alias("total_gt_spikes"),
         F.avg("precision").alias("mean_precision"),
         F.avg("recall").alias("mean_recall"),
         F.avg("f1_score").alias("mean_f1"),
         F.avg("agreement").alias("mean_agreement"),
     )
-    got = sums.join(truth, "channel_id", "left").withColumn("total_gt_spikes", F.coalesce("total_gt_spikes", F.lit(0)))
     tp, fp, fn = F.col("total_tp"), F.col("total_fp"), F.col("total_gt_spikes") - F.col("total_tp")
     precision, recall = _guarded(tp.cast("double"), tp + fp), _guarded(tp.cast("double"), tp + fn)
-    return got.select("channel_id", "n_curated", "n_matched", "total_tp", "total_fp", fn.alias("total_fn"), "total_gt_spikes", precision.alias("precision"), recall.alias("recall"), _guarded(2 * precision * recall, precision + recall).alias("f1"), "mean_precision", "mean_recall", "mean_f1", "mean_agreement")
+    return sums.select("channel_id", "n_curated", "n_matched", "total_tp", "total_fp", fn.alias("total_fn"), "total_gt_spikes", precision.alias("precision"), recall.alias("recall"), _guarded(2 * precision * recall, precision + recall).alias("f1"), "mean_precision", "mean_recall", "mean_f1", "mean_agreement")
 
 
 def band_join(left: DataFrame, right: DataFrame, tolerance: float, by: list[str], left_time: str = "t", right_time: str = "u") -> DataFrame:

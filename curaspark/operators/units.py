@@ -14,9 +14,21 @@ from curaspark.functions import arrays
 UNIT = ["channel_id", "cl"]
 
 
-def intervals(spikes: DataFrame, by: list[str] = UNIT) -> DataFrame:
-    """Adds `isi`, the time since the previous event of the same group."""
-    return spikes.withColumn("isi", F.col("t") - F.lag("t").over(Window.partitionBy(*by).orderBy("t")))
+def intervals(spikes: DataFrame, by: list[str] = UNIT, slice_seconds: float | None = None) -> DataFrame:
+    """Adds `isi`, the time since the previous event of the same group.
+
+    With `slice_seconds` a group is cut into slices of time, so that one with a large share of all events spreads over
+    tasks: lags are taken within slices, and the first event of a slice looks at the last of the slice before it, of
+    which there is one short row each.
+    """
+    if slice_seconds is None:
+        return spikes.withColumn("isi", F.col("t") - F.lag("t").over(Window.partitionBy(*by).orderBy("t")))
+    keys = [*by, "_slice"]
+    rows = spikes.withColumn("_slice", F.floor(F.col("t") / slice_seconds))
+    ends = rows.groupBy(*keys).agg(F.max("t").alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(*by).orderBy("_slice")))
+    previous = F.coalesce(F.lag("t").over(Window.partitionBy(*keys).orderBy("t")), F.col("_end"))
+    return rows.join(ends, keys).withColumn("isi", F.col("t") - previous).drop("_slice", "_end")
 
 
 def _ratio(a: Column, b: Column, default: float = 0.0) -> Column:
@@ -34,24 +46,27 @@ def interval_violations(spikes: DataFrame, tref: float, by: list[str] = UNIT) ->
     return got.select(*by, "n_spikes", "n_violations", _ratio(v.cast("double"), n - 1).alias("rate"), _ratio(v.cast("double"), n).alias("rate_by_n"), _ratio((v + 1).cast("double"), n).alias("self_rate"))
 
 
-def unit_quality(spikes: DataFrame, tref: float, bin_seconds: float = 60.0) -> DataFrame:
+def unit_quality(spikes: DataFrame, tref: float, bin_seconds: float = 60.0, slice_seconds: float | None = None) -> DataFrame:
     """Count, rate over the channel's span, interval violations, presence, and spread of amplitudes, per cluster.
 
     Presence counts distinct bins of absolute time against the bins of the channel's duration; 0 below two events.
     """
-    span = spikes.groupBy("channel_id").agg((F.max("t") - F.min("t")).alias("duration"), F.count("*").alias("channel_n"))
-    got = intervals(spikes).groupBy(*UNIT).agg(
+    got = intervals(spikes, UNIT, slice_seconds).groupBy(*UNIT).agg(
         F.count("*").alias("n_spikes"),
+        F.min("t").alias("first_t"),
+        F.max("t").alias("last_t"),
         violations(tref).alias("isi_violations_count"),
         F.count_distinct(F.floor(F.col("t") / bin_seconds)).alias("bins"),
         F.median("amp").alias("amplitude_median"),
         F.avg("amp").alias("mean_amp"),
         F.stddev_pop("amp").alias("std_amp"),
     )
+    channel = Window.partitionBy("channel_id")  # over clusters, not events
+    got = got.withColumn("duration", F.max("last_t").over(channel) - F.min("first_t").over(channel)).withColumn("channel_n", F.sum("n_spikes").over(channel))
     n = F.col("n_spikes")
     rate = F.when((F.col("channel_n") > 1) & (F.col("duration") > 0), n / F.when(F.col("duration") > 0, F.col("duration"))).otherwise(1.0)
     presence = F.when(n < 2, 0.0).otherwise(_ratio(F.col("bins").cast("double"), F.ceil(F.col("duration") / bin_seconds)))
-    return got.join(span, "channel_id").select(
+    return got.select(
         *UNIT,
         "n_spikes",
         rate.alias("firing_rate"),

@@ -299,3 +299,13 @@ def test_prompts_and_bounds(spark):
     assert "12 events: 0.2500" in row.a and "correlate at 0.5000" in row.b
     assert row.c == text.CRITERIA["strict"] and row.d == text.CRITERIA["balanced"]
     assert [r.id for r in datasets.within_bounds(spark.range(10), "id", 2, 3, 10).collect()] == [2, 3, 4, 5, 6]
+
+
+def test_sliced_intervals_are_the_same(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, i, float(t), 1.0, 1, int(c), 1) for i, (t, c) in enumerate(zip(rng.integers(0, 400, 200), rng.integers(1, 4, 200), strict=True))]
+    s = spark.createDataFrame(rows, EVENTS)
+    whole, sliced = (units.intervals(s, units.UNIT, x).groupBy("cl").agg(F.sort_array(F.collect_list("isi")).alias("i"), F.count("*").alias("n")) for x in (None, 7.0))
+    assert {r.cl: (r.i, r.n) for r in whole.collect()} == {r.cl: (r.i, r.n) for r in sliced.collect()}
+    a, b = (units.unit_quality(s, 2.0, 60.0, x).orderBy("cl").collect() for x in (None, 7.0))
+    assert a == b
