@@ -134,12 +134,17 @@ def _against_hub(percent: int):
 _TESTED = "hub long, rep long, n long, linked boolean, h long, lacks long, beyond long, crowd boolean, hub_comp long, comp long, meet array<long>"
 
 
-def _tests(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _tests(pairs: DataFrame, sets: DataFrame, percent: int, store: Store, turn: int) -> DataFrame:
     """Each pair (hub, rep) tested on full sets; shingles beyond the hub come only where a hub has a crowd to part."""
-    crowds = pairs.groupBy("hub").agg((F.count_if("crowd") > 1).alias("many"))
-    left = pairs.join(sets.select("rep", F.col("shingles").alias("x")), "rep")
-    full = left.join(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("y")).join(crowds, "hub"), "hub")
-    return full.select("hub", "rep", (F.col("many") & F.col("crowd")).alias("many"), "x", "y", "crowd", "hub_comp", "comp").mapInArrow(_against_hub(percent), _TESTED)
+    pairs = store.save(pairs, f"pairs-{turn}")
+    crowds = store.save(pairs.groupBy("hub").agg(F.count_if("crowd").alias("n")).where("n > 1").select("hub", F.lit(True).alias("many")), f"crowds-{turn}")
+    left = pairs.join(crowds, "hub", "left").join(sets.select("rep", F.col("shingles").alias("x")), "rep")
+    full = left.join(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("y")), "hub")
+    many = F.coalesce("many", F.lit(False)) & F.col("crowd")
+    tested = full.select("hub", "rep", many.alias("many"), "x", "y", "crowd", "hub_comp", "comp").mapInArrow(_against_hub(percent), _TESTED)
+    tested = store.save(tested, f"tested-{turn}")
+    store.drop(f"pairs-{turn}", f"crowds-{turn}")
+    return tested
 
 
 def _joined(links: DataFrame, labels: DataFrame | None, store: Store, name: str) -> tuple[DataFrame | None, DataFrame | None]:
@@ -218,7 +223,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     labels, turn = None, 0
     while True:
-        tested = store.save(_tests(pairs, sets, percent), f"tested-{turn}")
+        tested = _tests(pairs, sets, percent, store, turn)
         labels, delta = _joined(tested.where("linked and hub_comp <> comp"), labels, store, f"links-{turn}")
         around = tested.where("crowd")
         if delta is not None:
