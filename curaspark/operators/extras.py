@@ -66,7 +66,7 @@ def interval_quality(spikes: DataFrame, pairs: DataFrame, fs: float, tref: float
     whole, upto = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     rows = counts.select(*key, "bin", *(c for w in ("first", "second", "joint") for c in (F.sum(w).over(upto).alias(f"{w}_sum"), F.greatest(F.lit(1), F.sum(w).over(whole)).alias(f"{w}_n"))))
     share = {w: F.col(f"{w}_sum") / F.col(f"{w}_n") for w in ("first", "second", "joint")}
-    within = F.col("bin") < last
+    within = F.col("bin") <= last
 
     def statistic(w: str):
         size = F.sqrt(F.col(f"{w}_n") * F.col("joint_n") / (F.col(f"{w}_n") + F.col("joint_n")))

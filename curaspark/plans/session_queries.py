@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curaspark.functions import arrays, text
 from curaspark.operators import alignment, curation, datasets, matching, pipelines, retrieval, state, summaries, units
-from curaspark.plans.unit_queries import SPIKES, TREF, rounded
+from curaspark.plans.unit_queries import SPIKES, TREF, expert_pairs, rounded
 from curaspark.sources.tables import merge_tree, spikes, table, waves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,12 +221,11 @@ def grand_total(spark, sf_dir):
     return summaries.grand_total(table(spark, sf_dir, "orders"), "o_orderpriority", [F.count("*").alias("n"), F.sum("o_custkey").alias("keys")])
 
 
-@query("""WITH a AS (SELECT o_custkey % 40 AS k, CAST(count(*) AS DOUBLE) AS v FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 40 < 30 GROUP BY 1), b AS (SELECT o_custkey % 40 AS k, CAST(count(*) AS DOUBLE) AS v FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 40 >= 10 GROUP BY 1)
+@query("""WITH a AS (SELECT c_nationkey AS k, CAST(count(*) AS DOUBLE) AS v FROM customer WHERE c_acctbal > 9500 GROUP BY 1), b AS (SELECT s_nationkey AS k, CAST(count(*) AS DOUBLE) AS v FROM supplier GROUP BY 1)
 SELECT k, coalesce(a.v, 0) AS left_value, coalesce(b.v, 0) AS right_value, coalesce(b.v, 0) - coalesce(a.v, 0) AS delta FROM a FULL OUTER JOIN b USING (k)""")
 def mode_delta(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey") % 40)
-    a = o.where("o_orderstatus = 'F' and k < 30").groupBy("k").agg(F.count("*").cast("double").alias("v"))
-    b = o.where("o_orderstatus = 'O' and k >= 10").groupBy("k").agg(F.count("*").cast("double").alias("v"))
+    a = table(spark, sf_dir, "customer").where("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").cast("double").alias("v"))
+    b = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").cast("double").alias("v"))
     return matching.mode_delta(a, b, "k", "v")
 
 
@@ -397,17 +396,16 @@ def overclusters_by_size(spark, sf_dir):
     return sizes.withColumn("rank", F.row_number().over(Window.partitionBy("channel_id", "cl").orderBy(F.desc("n"), "oc")))
 
 
-@query("SELECT n_regionkey AS region, n_name, 'm 0 ' || n_nationkey || ',\"few\"' AS line FROM nation WHERE n_nationkey % 3 = 0")
+@query("SELECT CAST(0 AS BIGINT) AS channel_id, CAST(c_nationkey + 1 AS BIGINT) AS cl, 'm 0 ' || (c_nationkey + 1) || ',\"few\"' AS line FROM customer GROUP BY c_nationkey HAVING count(*) < 60")
 def action_log(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("channel_id"), F.col("n_nationkey").alias("cl"), F.when(F.col("n_nationkey") % 3 == 0, "DISCARD").otherwise("KEEP").alias("action"), F.lit("few").alias("reason"), "n_name")
-    names = rows.select("cl", "n_name")
-    return curation.action_log(rows).join(names, "cl").select(F.col("channel_id").alias("region"), "n_name", "line")
+    rows = table(spark, sf_dir, "customer").select(F.lit(0).cast("bigint").alias("channel_id"), (F.col("c_nationkey") + 1).cast("bigint").alias("cl"))
+    return curation.action_log(curation.size_filter(rows, 60).withColumn("reason", F.lit("few")))
 
 
-@query("""SELECT o_orderkey, round((o_custkey % 900 * 2.0 + 50 * 8.0) / 1e6 * 4 * 200, 6) AS projected FROM orders WHERE o_orderkey % 10 = 0""")
+@query("""SELECT o_orderkey, round((o_custkey % 900 * 2.0 + 50 * 8.0) / 1e6 * 4 * 200, 6) AS projected FROM orders""")
 def budget_projection(spark, sf_dir):
     cost = text.cost(F.col("o_custkey") % 900, F.lit(0), F.lit(50), F.lit(2.0), F.lit(0.0), F.lit(8.0))
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", cost.alias("avg_cost_usd"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", cost.alias("avg_cost_usd"))
     return summaries.projected_budget(rows, 4, 200).select("o_orderkey", F.col("projected_cost_usd").alias("projected"))
 
 
@@ -444,4 +442,4 @@ def heuristic_pipeline(spark, sf_dir):
 def training_pairs(spark, sf_dir):
     s = spikes(spark, sf_dir)
     pairs = matching.small_large_pairs(matching.size_classes(s, 70)).select("channel_id", "small", "large")
-    return pipelines.training_pairs(s, pairs.where("(small + large) % 11 = 0"), 70)
+    return pipelines.training_pairs(s, expert_pairs(s, pairs), 70)

@@ -282,29 +282,37 @@ def split_needed(spark, sf_dir):
     return curation.split_needed(units.interval_violations(s, TREF), curation.composition(s).drop("overclusters"), 0.09).select("channel_id", "cl", "n_overclusters", "rate", "split")
 
 
-@query(f"WITH {PAIRS} SELECT channel_id, small, large FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM pairs e WHERE e.channel_id = p.channel_id AND e.small = p.small AND e.large = p.large AND (e.small + e.large) % 3 = 0)")
+def expert_pairs(s: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs that an expert would merge: both clusters are mostly of one unit."""
+    unit = curation.purity(s).select("channel_id", "cl", "dominant_gt")
+    both = pairs.join(unit.toDF("channel_id", "small", "x"), ["channel_id", "small"]).join(unit.toDF("channel_id", "large", "y"), ["channel_id", "large"])
+    return both.where("x = y").select("channel_id", "small", "large")
+
+
+@query(f"""WITH {PAIRS}, {PURITY} SELECT channel_id, small, large FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM pur a JOIN pur b ON a.channel_id = b.channel_id AND a.dominant_gt = b.dominant_gt WHERE a.channel_id = p.channel_id AND a.cl = p.small AND b.cl = p.large)""")
 def non_expert_pairs_anti(spark, sf_dir):
-    pairs = matching.small_large_pairs(matching.size_classes(spikes(spark, sf_dir), 70)).select("channel_id", "small", "large")
-    return matching.not_among(pairs, pairs.where("(small + large) % 3 = 0"), ["channel_id", "small", "large"], pairs)
+    s = spikes(spark, sf_dir)
+    pairs = matching.small_large_pairs(matching.size_classes(s, 70)).select("channel_id", "small", "large")
+    return matching.not_among(pairs, expert_pairs(s, pairs), ["channel_id", "small", "large"], pairs)
 
 
-@query(f"""WITH {SPIKES}, tr AS (SELECT channel_id, t AS u, gt AS unit FROM spikes WHERE gt <> 0 AND spike_id % 7 = 0)
-SELECT s.channel_id, s.spike_id, coalesce(max(unit), 0) AS unit FROM spikes s LEFT JOIN tr ON s.channel_id = tr.channel_id AND tr.u BETWEEN s.t - 601 AND s.t + 601 AND abs(s.t - tr.u) <= 600 GROUP BY ALL""")
+@query(f"""WITH {SPIKES}, tr AS (SELECT channel_id, t AS u, gt AS unit FROM spikes WHERE gt <> 0)
+SELECT s.channel_id, s.spike_id, coalesce(max(unit), 0) AS unit FROM spikes s LEFT JOIN tr ON s.channel_id = tr.channel_id AND tr.u BETWEEN s.t - 61 AND s.t + 61 AND abs(s.t - tr.u) <= 60 GROUP BY ALL""")
 def coincidence_band_join(spark, sf_dir):
     s = spikes(spark, sf_dir)
-    truth = s.where("gt <> 0 and spike_id % 7 = 0").select("channel_id", F.col("t").alias("u"), F.col("gt").alias("unit"))
-    return matching.coincident_units(s, truth, 600.0).select("channel_id", "spike_id", "unit")
+    truth = s.where("gt <> 0").select("channel_id", F.col("t").alias("u"), F.col("gt").alias("unit"))
+    return matching.coincident_units(s, truth, 60.0).select("channel_id", "spike_id", "unit")
 
 
-@query(f"""WITH {SPIKES}, w AS (SELECT channel_id, cl FROM spikes WHERE cl <= 8 GROUP BY ALL HAVING count(*) > 1), pr AS (SELECT a.channel_id, a.cl AS a, b.cl AS b FROM w a JOIN w b USING (channel_id) WHERE a.cl <= b.cl),
-hits AS (SELECT pr.channel_id, a, b, CAST(round((y.t - x.t) / 720.0) AS INTEGER) AS lag, count(*) AS n FROM pr JOIN spikes x ON x.channel_id = pr.channel_id AND x.cl = a JOIN spikes y ON y.channel_id = pr.channel_id AND y.cl = b WHERE abs(y.t - x.t) <= 7200 GROUP BY ALL),
-dense AS (SELECT channel_id, a, b, CAST(UNNEST(range(-10, 11)) AS INTEGER) AS lag FROM pr)
+@query(f"""WITH {SPIKES}, w AS (SELECT channel_id, cl FROM spikes GROUP BY ALL HAVING count(*) > 1), pr AS (SELECT a.channel_id, a.cl AS a, b.cl AS b FROM w a JOIN w b USING (channel_id) WHERE a.cl <= b.cl),
+hits AS (SELECT pr.channel_id, a, b, CAST(round((y.t - x.t) / 720.0) AS INTEGER) AS lag, count(*) AS n FROM pr JOIN spikes x ON x.channel_id = pr.channel_id AND x.cl = a JOIN spikes y ON y.channel_id = pr.channel_id AND y.cl = b WHERE abs(y.t - x.t) <= 3600 GROUP BY ALL),
+dense AS (SELECT channel_id, a, b, CAST(UNNEST(range(-5, 6)) AS INTEGER) AS lag FROM pr)
 SELECT d.channel_id, d.a, d.b, d.lag, CASE WHEN d.lag = 0 AND d.a = d.b THEN 0 ELSE coalesce(n, 0) END AS n FROM dense d LEFT JOIN hits h USING (channel_id, a, b, lag)""")
 def crosscorrelogram(spark, sf_dir):
-    s = spikes(spark, sf_dir).where("cl <= 8")  # eight clusters are shown, as in a panel
+    s = spikes(spark, sf_dir)
     ids = matching.active_clusters(s)
-    pairs = ids.select("channel_id", F.col("cl").alias("a")).join(ids.select("channel_id", F.col("cl").alias("b")), "channel_id").where("a <= b")
-    return matching.cross_correlogram(s, pairs, 7200.0, 10)
+    pairs = ids.toDF("channel_id", "a").join(ids.toDF("channel_id", "b"), "channel_id").where("a <= b")
+    return matching.cross_correlogram(s, pairs, 3600.0, 5)
 
 
 @query(f"""WITH {WAVES}, q AS (SELECT channel_id, cl, list_max(wf) - list_min(wf) AS ptp FROM waves)

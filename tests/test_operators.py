@@ -309,3 +309,33 @@ def test_sliced_intervals_are_the_same(spark):
     assert {r.cl: (r.i, r.n) for r in whole.collect()} == {r.cl: (r.i, r.n) for r in sliced.collect()}
     a, b = (units.unit_quality(s, 2.0, 60.0, x).orderBy("cl").collect() for x in (None, 7.0))
     assert a == b
+
+
+def test_interval_quality_matches_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, i, float(t), 1.0, 1, int(c), 1) for i, (t, c) in enumerate(zip(rng.random(300) * 40, rng.integers(1, 3, 300), strict=True))]
+    s = spark.createDataFrame(rows, EVENTS)
+    fs, tref, tmax = 50.0, 0.1, 1.0
+    got = extras.interval_quality(s, spark.createDataFrame([(0, 1, 2)], "channel_id long, a long, b long"), fs, tref, 0.0, tmax).first()
+    bins = np.linspace(0, tmax, int(tmax * fs))
+    step, last = bins[1], int((bins <= tref).sum()) - 1
+    times = {c: np.sort([r[2] for r in rows if c in (0, r[5])]) for c in (0, 1, 2)}
+    cdf, n = {}, {}
+    for c, t in times.items():
+        isi = np.diff(t)
+        isi = isi[isi < tmax]
+        hist = np.bincount(np.minimum(len(bins) - 1, np.floor(isi / step + 0.5).astype(int)), minlength=len(bins))
+        n[c], cdf[c] = max(1, hist.sum()), hist.cumsum() / max(1, hist.sum())
+    f, cutoff = extras.interval_cutoff(tref, 0.0, tmax)
+    for c, d, score in ((1, got.d_first, got.score_first), (2, got.d_second, got.score_second)):
+        want = np.sqrt(n[c] * n[0] / (n[c] + n[0])) * (cdf[0] - cdf[c])[: last + 1].max()
+        assert math.isclose(d, max(0, want), abs_tol=1e-9) and math.isclose(score, cdf[c][last] / f)
+    assert got.allow == (max(got.d_first, got.d_second) <= cutoff)
+
+
+def test_shapes_of_forests(spark):
+    tree = spark.createDataFrame([(0, 0, 1, 2, 0.9), (0, 1, 1, 3, 0.5), (0, 2, 11, 12, 0.8)], "channel_id long, step int, dst long, src long, similarity double")
+    members = [(0, 1, oc) for oc in (1, 2, 3)] + [(0, 2, oc) for oc in (11, 12, 13)] + [(0, 3, 20)]
+    got = {r.cl: r for r in state.forest(tree, spark.createDataFrame(members, "channel_id long, cl long, oc long")).collect()}
+    assert (got[1].kind, got[1].n_merges, got[1].n_roots) == ("complete", 2, 1) and math.isclose(got[1].height, 0.6)
+    assert (got[2].kind, got[2].n_roots) == ("partial", 2) and (got[3].kind, got[3].n_merges) == ("flat", 0)
