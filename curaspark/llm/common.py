@@ -8,7 +8,6 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes between words in every contract of this package: space, \t, \n, \v, \f, \r.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
@@ -18,11 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches to Python of few rows, so that a batch of very long texts still fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; in local mode only, a temporary folder where it is unset."""
     conf = spark.sparkContext.getConf()
@@ -43,9 +37,16 @@ class Store:
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """Writes a table and reads it back. `free`: a large shuffle led to it, whose files are let go at once.
+
+        The engine drops shuffle files when the driver's collector finds them unused, which on an idle driver may take
+        half an hour; asking it to collect keeps the disk at one step's shuffles instead of the sum of all.
+        """
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        if free:
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -84,7 +85,3 @@ def planes(values: np.ndarray) -> bytes:
 def unplanes(data: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
-
-
-def null_ids_apart(col: str = "doc_id"):
-    return F.col(col).isNotNull()
