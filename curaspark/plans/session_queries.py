@@ -83,7 +83,7 @@ def gt_trajectory(spark, sf_dir):
 
 
 @query(f"""WITH {SPIKES}, n AS (SELECT channel_id, cl, count(DISTINCT oc) AS k FROM spikes GROUP BY ALL)
-SELECT channel_id, cl, k AS n_leaves, k - 1 AS n_merges, CAST(1 AS BIGINT) AS n_roots, round(0.5 * (k - 1), 6) AS height, CASE WHEN k > 1 THEN 'complete' ELSE 'flat' END AS kind FROM n""")
+SELECT channel_id, cl, k AS n_leaves, k - 1 AS n_merges, CAST(1 AS BIGINT) AS n_roots, round(CAST(0.5 AS DOUBLE) * (k - 1), 6) AS height, CASE WHEN k > 1 THEN 'complete' ELSE 'flat' END AS kind FROM n""")
 def aggregation_forest(spark, sf_dir):
     s = spikes(spark, sf_dir)
     return state.forest(merge_tree(s).withColumn("similarity", F.lit(0.5)), s)
