@@ -78,12 +78,12 @@ class _WordIds(_Recent):
     Plain stretches are split here and only their parts go to the tokenizer's merges; any other goes through it whole.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__(limit)
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.parts = tokenizer.encode, _PartIds(tokenizer, limit)
+        self.encode, self.parts = tokenizer.encode, _PartIds(tokenizer, limit // 2)
 
     def made(self, word: bytes) -> bytes:
         text = word.decode()
