@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curaspark.llm.common import Store
+from curaspark.llm.common import Store, tidied
 
 CAPACITY = 2048
 
@@ -215,7 +215,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     store = Store(docs.sparkSession, "packing")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = store.save(texts.mapInArrow(_cut(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"), "pieces")
+    pieces = store.save(texts.mapInArrow(tidied(_cut(tokenizer, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"), "pieces")
     sizes = store.save(pieces.groupBy("part", "length").count(), "sizes")
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
     patterns = min((plan(counts, capacity, exact) for exact in (True, False)), key=lambda x: sum(n for _, n in x))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curaspark.llm.common import Store, estimated_bytes, mix64, planes, unplanes, word_hashes
+from curaspark.llm.common import Store, estimated_bytes, mix64, planes, tidied, unplanes, word_hashes
 
 CHUNK_WORDS = 2_000_000
 BUCKET_WORDS = 1_000_000
@@ -397,16 +397,16 @@ def repeated_substrings_cut(docs: DataFrame, window: int = 50, chunk_words: int
     bits = buckets.bit_length() - 1
 
     def met(entries: DataFrame, resolve, *kinds) -> DataFrame:
-        slices = entries.repartition("p").sortWithinPartitions("p").mapInArrow(_meeting(resolve, *kinds, bits), _ENTRY_DDL)
-        return slices.repartition("p").sortWithinPartitions("p").mapInArrow(_gathered, _FOUND_DDL)
+        slices = entries.repartition("p").sortWithinPartitions("p").mapInArrow(tidied(_meeting(resolve, *kinds, bits)), _ENTRY_DDL)
+        return slices.repartition("p").sortWithinPartitions("p").mapInArrow(tidied(_gathered), _FOUND_DDL)
 
     store = Store(docs.sparkSession, "substring")
-    hits = met(known.select("doc_id", "text").mapInArrow(_probe(window, block, chunk_words, buckets), _ENTRY_DDL), _hits(block), np.uint32, np.uint8)
+    hits = met(known.select("doc_id", "text").mapInArrow(tidied(_probe(window, block, chunk_words, buckets)), _ENTRY_DDL), _hits(block), np.uint32, np.uint8)
     hits = store.save(hits.select("doc_id", "at"), "hits", free=True)
-    keys = known.join(hits, "doc_id").select("row", "doc_id", "text", "tag", "at").mapInArrow(_extend(window, block, chunk_words, buckets), _ENTRY_DDL)
+    keys = known.join(hits, "doc_id").select("row", "doc_id", "text", "tag", "at").mapInArrow(tidied(_extend(window, block, chunk_words, buckets)), _ENTRY_DDL)
     marks = met(keys, _marked, np.uint64, np.uint32)
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "at")).alias("found"))
     joined = known.join(marks, "doc_id", "left").select("row", "doc_id", "text", "tag", "found")
     loose = rows.where("doc_id is null").select("row", "doc_id", "text", "tag", F.lit(None).cast("array<struct<tag:bigint,at:binary>>").alias("found"))
     ddl = f"row {joined.schema['row'].dataType.simpleString()}, doc_id long, n_words long, n_removed long, kept_text string" + ", text string" * keep_text
-    return joined.unionAll(loose).mapInArrow(_cut(window, keep_text), ddl)
+    return joined.unionAll(loose).mapInArrow(tidied(_cut(window, keep_text)), ddl)
