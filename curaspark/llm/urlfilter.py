@@ -3,14 +3,16 @@
 Per host, paths are generalised from the root down. Segments that look like numbers or long hexadecimal names are
 wildcards at once; a node with very many children that are mostly seen once makes its children one wildcard; sibling
 branches whose labelled block rates do not differ statistically from their siblings' merge into another. A template is
-rejected if its block rate among labelled urls, smoothed toward the rate of all labelled urls, reaches a limit.
+rejected if its block rate reaches a limit. The rate is that of its own labelled urls, smoothed toward the rest of its
+host and, through it, toward the mean rate of hosts, in which each host with labels counts once. A template without
+labels takes the rate of the nearest branch above it that has some, up to the whole host.
 
 Labels are the rules' own verdicts on the urls they fit, or a given table. All steps are DataFrame operations on
 distinct generalised paths; urls join their template by host and path, which Spark may split where one is very common.
 
-Defined results: a null url or one without :// has an empty host and path and, like every url whose template has no
-labels, the verdict of the smoothed overall rate; rows that repeat are counted and returned each. Segments after the
-`LEVELS`th are one wildcard. Only page_id and url are read.
+Defined results: a null url or one without :// has an empty host and path; urls of a host without any labels are
+allowed unless a rule fits; rows that repeat are counted and returned each. Segments after the `LEVELS`th are one
+wildcard. Only page_id and url are read.
 """
 
 from __future__ import annotations
@@ -57,13 +59,22 @@ def _segments(path: Column) -> Column:
     return F.when(F.size(named) > LEVELS, F.concat(F.slice(named, 1, LEVELS), F.array(F.lit("**")))).otherwise(named)
 
 
-def _generalised(paths: DataFrame, store: Store, depth: int) -> DataFrame:
-    """paths (host, segs, n, labelled, blocked) with `template`, level by level from the root."""
-    now = paths.withColumn("template", F.lit(""))
+def _rate(prior: float) -> Column:
+    """Block rate of a branch with labels; each label of its host (host_labelled, host_blocked) counts once."""
+    rest = (F.col("host_blocked") - F.col("blocked") + PRIOR_WEIGHT * prior) / (F.col("host_labelled") - F.col("labelled") + PRIOR_WEIGHT)
+    return F.when(F.col("labelled") > 0, (F.col("blocked") + PRIOR_WEIGHT * rest) / (F.col("labelled") + PRIOR_WEIGHT))
+
+
+def _generalised(paths: DataFrame, hosts: DataFrame, prior: float, store: Store, depth: int) -> DataFrame:
+    """paths (host, segs, n, labelled, blocked) with `template`, level by level from the root, and `above`.
+
+    above: the rate of the nearest branch with labels that the template lies in or is; null if that is the host.
+    """
+    now = paths.withColumn("template", F.lit("")).withColumn("above", F.lit(None).cast("double"))
     for level in range(depth):
         seg = F.get("segs", F.lit(level))
         here = now.withColumn("seg", seg)
-        children = here.where("seg is not null").groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
+        children = here.where("seg is not null").groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")), F.max("above").alias("above"))
         children = store.save(children, f"children-{level}")
         nodes = children.groupBy("host", "template").agg(
             F.count("*").alias("kids"),
@@ -79,10 +90,14 @@ def _generalised(paths: DataFrame, store: Store, depth: int) -> DataFrame:
         z = F.abs(F.try_divide(F.col("blocked").cast("double"), F.col("labelled")) - F.try_divide(rest_blocked.cast("double"), rest)) / error
         alike = F.coalesce(z < SAME_Z, F.lit(False))
         step = F.when(wild, "*").when(alike, "{same}").otherwise(F.col("seg"))
-        steps = children.join(nodes, ["host", "template"]).select("host", "template", "seg", step.alias("step"))
-        new = here.join(store.save(steps, f"steps-{level}"), ["host", "template", "seg"], "left").select("host", "segs", "n", "labelled", "blocked", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step")).alias("template"))
+        steps = store.save(children.join(nodes, ["host", "template"]).select("host", "template", "seg", step.alias("step"), "labelled", "blocked", "above"), f"steps-{level}")
+        branches = steps.groupBy("host", "template", "step").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.max("above").alias("above")).join(hosts, "host")
+        branches = store.save(branches.select("host", "template", "step", F.coalesce(_rate(prior), "above").alias("rate")), f"branches-{level}")
+        steps = steps.select("host", "template", "seg", "step").join(branches, ["host", "template", "step"])
+        new = here.join(store.save(steps, f"rated-{level}"), ["host", "template", "seg"], "left")
+        new = new.select("host", "segs", "n", "labelled", "blocked", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step")).alias("template"), F.when(F.col("step").isNull(), F.col("above")).otherwise(F.col("rate")).alias("above"))
         now = store.save(new, f"level-{level}")
-        store.drop(f"children-{level}", f"steps-{level}", *([f"level-{level - 1}"] if level else []))
+        store.drop(f"children-{level}", f"steps-{level}", f"branches-{level}", f"rated-{level}", *([f"level-{level - 1}"] if level else []))
     return now
 
 
@@ -97,13 +112,15 @@ def judged(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None)
     rows = store.save(rows.withColumn("segs", _segments(F.col("path"))), "rows")
     sums = (F.count("*").alias("n"), F.count("label").alias("labelled"), F.count_if(F.col("label") == "block").alias("blocked"))
     paths = store.save(rows.groupBy("host", "segs").agg(*sums), "paths")
-    top = paths.agg(F.max(F.size("segs")).alias("d"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).first()
-    prior = (top["b"] or 0) / top["l"] if top["l"] else 0.0
-    known = _generalised(paths, store, top["d"] or 0)
-    rate = (F.sum("blocked") + PRIOR_WEIGHT * prior) / (F.sum("labelled") + PRIOR_WEIGHT)
-    templates = known.groupBy("host", "template").agg(F.when(rate >= REJECT_RATE, "block").otherwise("allow").alias("found"))
+    depth = paths.agg(F.max(F.size("segs")).alias("d")).first()["d"] or 0
+    hosts = store.save(paths.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("blocked").alias("host_blocked")), "hosts")
+    prior = hosts.where("host_labelled > 0").agg(F.avg(F.col("host_blocked") / F.col("host_labelled")).alias("p")).first()["p"] or 0.0
+    known = _generalised(paths, hosts, prior, store, depth)
+    templates = known.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.max("above").alias("above")).join(hosts, "host")
+    whole = (F.col("host_blocked") + PRIOR_WEIGHT * prior) / (F.col("host_labelled") + PRIOR_WEIGHT)
+    block = (F.col("host_labelled") > 0) & (F.coalesce(_rate(prior), "above", whole) >= REJECT_RATE)
+    templates = templates.select("host", "template", F.when(block, "block").otherwise("allow").alias("found"))
     found = store.save(known.select("host", "segs", "template").join(templates, ["host", "template"]), "found")
-    verdict = F.coalesce("ruled", "found", F.lit("block" if prior >= REJECT_RATE else "allow"))
     ruled = rows.where("ruled is not null").select("page_id", "host", "path", "rule", F.col("ruled").alias("verdict"), F.lit(None).cast("string").alias("template"))
-    free = rows.where("ruled is null").join(found, ["host", "segs"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
+    free = rows.where("ruled is null").join(found, ["host", "segs"]).select("page_id", "host", "path", "rule", F.col("found").alias("verdict"), "template")
     return ruled.unionAll(free)

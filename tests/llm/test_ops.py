@@ -213,6 +213,44 @@ def test_url_templates_learn_from_labels(spark):
     assert urlfilter.judged(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def judged_urls(spark, urls, rules):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    return {urls[r.page_id]: r.verdict for r in urlfilter.judged(pages, rules).collect()}
+
+
+def test_unruled_urls_are_judged_inside_their_host(spark):
+    urls = [f"http://{h}/{d}/{i}" for h in ("all.net", "none.org") for d in ("es", "fr", "en") for i in range(10)]
+    urls += [f"http://some.net/{d}/{i}" for d in ("es", "good", "en") for i in range(10)]
+    urls += [f"http://deep.net/{a}/{b}/{i}" for a, b in (("x", "bad"), ("x", "new"), ("y", "good"), ("y", "new"), ("z", "new")) for i in range(40)]
+    rules = [("block", "all.net/es"), ("block", "all.net/fr"), ("block", "some.net/es"), ("allow", "some.net/good"), ("block", "deep.net/x/bad"), ("allow", "deep.net/y/good")]
+    got = judged_urls(spark, urls, rules)
+    assert got["http://all.net/en/1"] == "block"  # all labels of the host
+    assert got["http://none.org/en/1"] == got["http://none.org/es/1"] == "allow"  # no labels in the host
+    assert got["http://some.net/en/1"] == "allow"  # labels of both kinds
+    assert got["http://deep.net/x/new/1"] == "block" and got["http://deep.net/y/new/1"] == got["http://deep.net/z/new/1"] == "allow"  # the nearest branch with labels
+
+
+def test_a_hot_host_sets_no_other_verdict(spark):
+    urls = [f"http://hot.net/es/{i}" for i in range(3000)] + [f"http://calm{k}.com/a" for k in range(5)]
+    urls += [f"http://calm{k}.com/b" for k in range(5)] + ["http://new.org/x", "http://one.net/es/1", "http://one.net/en/1"]
+    got = judged_urls(spark, urls, [("block", "net/es"), *(("allow", f"calm{k}.com/a") for k in range(5))])
+    assert all(got[f"http://calm{k}.com/b"] == "allow" for k in range(5))
+    assert got["http://new.org/x"] == got["http://one.net/en/1"] == "allow"
+
+
+def test_unruled_url_pages(spark):
+    got, labels = queries.op4_urls(spark, SF).collect(), collections.defaultdict(list)
+    for r in got:
+        labels[r.host] += [r.verdict == "block"] if r.rule else []
+    rates = [sum(x) / len(x) for x in labels.values() if x]
+    prior = sum(rates) / len(rates)
+    free = [r for r in got if not r.rule]
+    assert free
+    for r in free:  # in these tables no unruled page shares a branch below its host with a label
+        x = labels[r.host]
+        assert r.verdict == ("block" if x and (sum(x) + 5 * prior) / (len(x) + 5) >= 0.8 else "allow")
+
+
 # 5: host rules
 
 
