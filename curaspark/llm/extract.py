@@ -1,8 +1,9 @@
 """Main text of web pages by scoring the element tree.
 
 Paragraphs pass points for length and commas to their ancestors, halved at each level up; a container's points are
-discounted by its share of link text. The best container is kept with those siblings that score well or read as prose,
-and its text is written block by block.
+discounted by its share of link text. Where the page has articles, the best one is kept with its like. Elsewhere the best
+container is kept with everything beside it that is not mostly links: headings, short paragraphs, sections and loose
+text, however short, also at each level up to a main element that holds it. The text is written block by block.
 
 What never counts as content: scripts, styles, forms, menus, page headers and footers, sidebars, adverts, notices and
 reader comments, known by element, role or words in class and id. Open tags that authors leave unclosed are closed as
@@ -168,19 +169,59 @@ def _chosen(root: Node) -> list[Node]:
         return articles[:1] or [root]
     articles = [x for x in containers if x.tag == "article" and x.size]
     best = max(articles or containers, key=_score)
-    if best.up is None:
-        return [best]
-    least, kept = max(10.0, 0.2 * _score(best)), []
-    for item in best.up.items:
-        if isinstance(item, str):
-            continue
-        prose = item.tag == "p" and item.size > 80 and item.linked < 0.25 * item.size
-        alike = item.tag == best.tag and item.attrs.get("class") == best.attrs.get("class") and _score(item) > 0.1 * least
-        if item is best or (best.tag != "article" and (_score(item) >= least or prose)) or (best.tag == "article" and item.tag == "article" and (alike or _score(item) >= least)):
+    least = 0.2 * _score(best)
+    if best.tag != "article":
+        return [_with_siblings(best, least)]
+    kept = []
+    for item in best.up.items if best.up is not None else [best]:
+        alike = isinstance(item, Node) and item.tag == "article" and item.attrs.get("class") == best.attrs.get("class") and _score(item) > 0.1 * least
+        if item is best or alike or (isinstance(item, Node) and item.tag == "article" and _score(item) >= least):
             kept.append(item)
     return kept
 
 
+def _with_siblings(best: Node, least: float) -> Node:
+    """The content parent of `best` without what is mostly links: its main element's parent, or its own.
+
+    Parents that hold no other text are passed over.
+    """
+    top, node = best, best
+    while node is not None:
+        top = node if node.tag == "main" or node.attrs.get("role", "").lower() == "main" else top
+        node = node.up
+    node, beyond = best, best is top
+    while node.up is not None:
+        alone = node.up.size == node.size
+        _prune(node.up, node, least)
+        node = node.up
+        if beyond and not alone:
+            break
+        beyond |= node is top
+    return node
+
+
+def _prune(parent: Node, best: Node, least: float) -> None:
+    """Keeps of the items of `parent` `best` and what is not mostly links; texts and inline elements are judged by the line."""
+    kept, line = [], []
+
+    def end() -> None:
+        size = sum(len(x.strip()) if isinstance(x, str) else x.size for x in line)
+        linked = sum(0 if isinstance(x, str) else x.linked for x in line)
+        if 2 * linked <= size:
+            kept.extend(line)
+        line.clear()
+
+    for item in parent.items:
+        if isinstance(item, str) or item.tag not in _BLOCKS:
+            line.append(item)
+            continue
+        end()
+        if item is best or 2 * item.linked <= item.size or _score(item) >= least:
+            kept.append(item)
+    end()
+    parent.items = kept
+
+
 def _blocks(nodes: list[Node]) -> str:
     out, line = [], []
 

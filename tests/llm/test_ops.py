@@ -97,6 +97,25 @@ def test_main_text_cases(page, text):
     assert extract.main_text(page) == text
 
 
+P200 = ", ".join(["word " * 13] * 3).strip()
+LINKS = "<div><a href=x>one</a> <a href=y>two</a></div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<main><section><p>{P200}<p>{P200}<p>{P200}</section><section><p>{P200}</section></main>", [P200] * 4),
+        (f"<body><h1>T</h1><div class=content><p>{P200}</div>{LINKS}", ["T", P200]),
+        (f"<body><p>Short lead.</p><div class=content><p>{P200}</div>", ["Short lead.", P200]),
+        (f"<body><div>{LINKS}<main><h1>T</h1><div><section><p>{P200}<p>{P200}</section></div><div><p>End.</div>{LINKS}</main></div>", ["T", P200, P200, "End."]),
+        (f"<body><h1>T</h1><div><div><div class=post><p>{P200}</div></div></div>", ["T", P200]),
+        (f"<body>Loose <b>bold</b>, see <a href=x>it</a>.<section><p>{P200}<p>{P200}</section><a href=x>only a link</a>", ["Loose bold, see it.", P200, P200]),
+    ],
+)
+def test_short_parts_beside_the_best_container_stay(page, text):
+    assert extract.main_text(page) == "\n".join(" ".join(x.split()) for x in text)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="<>/!-apdiv \"'=&;scr\n", max_size=60))
 def test_any_markup_is_survived(page):
