@@ -5,6 +5,7 @@ rules; a lasso logistic regression keeps few of them and weighs them; the model
 over statistics that are themselves column expressions, so scoring runs inside the engine over whole texts.
 
 The sample bound is `SAMPLE` rows (a parameter): those of the least hash of their doc_id, so it never depends on order.
+A doc_id that repeats is one row of the sample, with the least statistics of its texts.
 
 Defined results: null and empty texts have statistics of zero and get a score like any text; rows that repeat get a row
 each; without labelled rows of both classes every score is the share of label 1 (0.5 without any). doc_id, lang,
@@ -177,7 +178,9 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id is not null and _y is not null").where(~F.coalesce(held_out(F.col("_id")), F.lit(True)))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))  # at most `sample` ids
-    got = with_statistics(rows.select("doc_id", "text", "_y")).drop("text").orderBy("doc_id", *(f"s_{s}" for s in STATISTICS)).limit(2 * sample).toPandas()
+    values = F.struct(*[F.col(f"s_{s}") for s in STATISTICS]).alias("v")
+    one = with_statistics(rows.select("_id", "text", "_y")).select("_id", "_y", values).groupBy("_id").agg(F.max("_y").alias("_y"), F.min("v").alias("v"))
+    got = one.select("_id", "_y", "v.*").toPandas().sort_values("_id")  # at most `sample` rows
     return fit(got[[f"s_{s}" for s in STATISTICS]].to_numpy(np.float64), got["_y"].to_numpy(np.float64))
 
 

@@ -177,6 +177,19 @@ def test_classifier_on_odd_tables(spark, odd, empty):
     assert kept.count() == len(ODD) and kept.columns == clashing(odd).columns
 
 
+def test_a_repeated_doc_id_is_one_row_of_the_sample(spark):
+    texts = [(i, "good words of some length here " * 3 if i % 2 else "# $ % & | bad") for i in range(400)]
+    ids = [i for i, _ in texts if i % 2 and zlib.crc32(str(i).encode()) % 5]
+    first = min(i for i, _ in texts if zlib.crc32(str(i).encode()) % 5)
+    docs = spark.createDataFrame(texts + [texts[first]] * 2000, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    model = rulefit.trained(docs, labels, sample=len(texts))
+    got = rows(rulefit.scored(docs.dropDuplicates(), model), "doc_id")
+    assert ids and all(got[i].score > 0.5 for i in ids) and got[first].score < 0.5
+    once = rulefit.trained(docs.dropDuplicates(), labels, sample=len(texts))
+    assert once == model
+
+
 def test_rules_find_a_conjunction():
     rng = np.random.default_rng(0)
     x = rng.random((3000, len(rulefit.STATISTICS)))
