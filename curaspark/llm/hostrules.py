@@ -24,7 +24,7 @@ MIN_WORDS, REPEAT_PERCENT = 50, 50
 HOST_LIMIT, MARGIN = 0.8, 3.0
 SALTS = 64
 _SYMBOLS = "#*$%&|<>"
-_PLACE_BITS = 24  # places of texts of up to 16 million words
+_PLACE_BITS = 31  # as large as an array can be; equal bits of other words are told apart by the words
 
 
 def _without(text: Column, characters: str) -> Column:

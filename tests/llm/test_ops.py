@@ -304,6 +304,16 @@ def test_host_rules_counts(spark, odd):
     assert all(not r.kept for r in got if r.base_failed)
 
 
+@pytest.mark.parametrize("bits", [hostrules._PLACE_BITS, 62])  # 62: nearly all windows have equal hash bits
+def test_repeats_are_exact_at_every_length(spark, monkeypatch, bits):
+    assert 1 << hostrules._PLACE_BITS >= 2**31 - 1  # places of the longest array
+    monkeypatch.setattr(hostrules, "_PLACE_BITS", bits)
+    rng = np.random.default_rng(1)
+    docs = [(i, " ".join(map(str, rng.integers(0, 30, n))), "en", "s", 0) for i, n in enumerate((3, 4, 200, 3000))]
+    got = rows(hostrules.judged(spark.createDataFrame(docs, DOCS)), "doc_id")
+    assert all(got[i].n_repeat_words == counts(t)[4] for i, t, *_ in docs)
+
+
 def test_host_rules_of_documents(spark):
     got = rows(queries.op5_hostrules(spark, SF), "doc_id")
     for d in table("documents"):
