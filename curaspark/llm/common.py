@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,7 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; in local mode only, a temporary folder where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; in local mode only, a temporary folder where it is unset.
+
+    That temporary folder goes when the Python process ends.
+    """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -31,33 +36,51 @@ def shared_dir(spark: SparkSession) -> str:
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="curaspark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return own
 
 
-class Store:
-    """Tables written once to the shared folder: they cut lineage and outlive a lost executor."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
-        """Writes a table and reads it back. `free`: a large shuffle led to it, whose files are let go at once.
+class Store:
+    """Tables written once to the shared folder: they cut lineage and outlive a lost executor.
+
+    A table that a returned plan reads has to stay as long as the plan may run, so a store's folder goes when the
+    application ends; operators drop what no later plan reads as soon as it is of no use.
+    """
+
+    def __init__(self, spark: SparkSession, what: str, root: str | None = None):
+        self.spark, self.root = spark, (root or f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+        if root is None:
+            files, path = self._files(self.root)
+            files.mkdirs(path)
+            files.deleteOnExit(path)
+
+    def _files(self, path: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def writing(self, write: Callable[[], None]) -> None:
+        """Runs a write whose shuffle files are removed as soon as it is done: no other plan can read them."""
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            write()
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
 
-        The engine drops shuffle files when the driver's collector finds them unused, which on an idle driver may take
-        half an hour; asking it to collect keeps the disk at one step's shuffles instead of the sum of all.
-        """
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes a table and reads it back."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        if free:
-            self.spark.sparkContext._jvm.System.gc()
+        self.writing(lambda: df.write.option("compression", "zstd").parquet(path))
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Removes tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            files, path = self._files(f"{self.root}/{name}")
+            files.delete(path, True)
 
 
 def estimated_bytes(df: DataFrame) -> int:

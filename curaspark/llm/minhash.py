@@ -142,7 +142,7 @@ def _tests(pairs: DataFrame, sets: DataFrame, percent: int, store: Store, turn:
     full = left.join(sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("y")), "hub")
     many = F.coalesce("many", F.lit(False)) & F.col("crowd")
     tested = full.select("hub", "rep", many.alias("many"), "x", "y", "crowd", "hub_comp", "comp").mapInArrow(tidied(_against_hub(percent)), _TESTED)
-    tested = store.save(tested, f"tested-{turn}", free=True)
+    tested = store.save(tested, f"tested-{turn}")
     store.drop(f"pairs-{turn}", f"crowds-{turn}")
     return tested
 
@@ -213,12 +213,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     store = Store(docs.sparkSession, "minhash")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = store.save(texts.mapInArrow(tidied(_signed(shingle_words, bands, rows)), "doc_id long, n_shingles long, node binary, bands array<long>"), "signed")
-    nodes = store.save(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes", free=True)
+    nodes = store.save(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.where("rep is not null").select("rep", "n", F.explode("bands").alias("key"))
     shared = store.save(banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("hi")).where("hub < hi").select("key", "hub"), "shared")
-    members = store.save(banded.join(shared, "key").select("rep", "hub").distinct(), "banded", free=True)
+    members = store.save(banded.join(shared, "key").select("rep", "hub").distinct(), "banded")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = store.save(texts.join(wanted, "doc_id").mapInArrow(tidied(_sets(shingle_words)), "rep long, shingles binary"), "sets", free=True)
+    sets = store.save(texts.join(wanted, "doc_id").mapInArrow(tidied(_sets(shingle_words)), "rep long, shingles binary"), "sets")
     pairs = members.where("rep <> hub").select("hub", "rep", F.lit(True).alias("crowd"), F.col("hub").alias("hub_comp"), F.col("rep").alias("comp"))
 
     labels, turn = None, 0

@@ -402,7 +402,7 @@ def repeated_substrings_cut(docs: DataFrame, window: int = 50, chunk_words: int
 
     store = Store(docs.sparkSession, "substring")
     hits = met(known.select("doc_id", "text").mapInArrow(tidied(_probe(window, block, chunk_words, buckets)), _ENTRY_DDL), _hits(block), np.uint32, np.uint8)
-    hits = store.save(hits.select("doc_id", "at"), "hits", free=True)
+    hits = store.save(hits.select("doc_id", "at"), "hits")
     keys = known.join(hits, "doc_id").select("row", "doc_id", "text", "tag", "at").mapInArrow(tidied(_extend(window, block, chunk_words, buckets)), _ENTRY_DDL)
     marks = met(keys, _marked, np.uint64, np.uint32)
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "at")).alias("found"))

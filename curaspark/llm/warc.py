@@ -70,7 +70,7 @@ class Archive:
         firsts = store.save(heads.groupBy("key").agg(F.min("page_id").alias("first_id")), "firsts")
         headers = store.save(heads.join(firsts, "key", "left").select("key", _header(min_bytes).cast("binary").alias("header")), "headers")
         own = rows.withColumn("key", key).join(firsts.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("first_id")))
-        payloads = store.save(own.groupBy("key", "first_id").agg(F.first("payload").alias("payload")).select("key", "payload"), "payloads", free=True)
+        payloads = store.save(own.groupBy("key", "first_id").agg(F.first("payload").alias("payload")).select("key", "payload"), "payloads")
         store.drop("heads", "firsts")
         return cls(headers, payloads)
 
