@@ -57,8 +57,8 @@ def _header(min_bytes: int) -> Column:
 class Archive:
     """Two stored tables: headers (key, header) and payloads (key, payload); key is the payload's SHA-256."""
 
-    def __init__(self, headers: DataFrame, payloads: DataFrame):
-        self.headers, self.payloads = headers, payloads
+    def __init__(self, headers: DataFrame, payloads: DataFrame, root: str | None = None):
+        self.headers, self.payloads, self.root = headers, payloads, root
 
     @classmethod
     def write(cls, pages: DataFrame, min_bytes: int = 0) -> Archive:
@@ -69,10 +69,13 @@ class Archive:
         heads = store.save(rows.select("page_id", "url", key.alias("key"), base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("n_bytes")), "heads")
         firsts = store.save(heads.groupBy("key").agg(F.min("page_id").alias("first_id")), "firsts")
         headers = store.save(heads.join(firsts, "key", "left").select("key", _header(min_bytes).cast("binary").alias("header")), "headers")
-        own = rows.withColumn("key", key).join(firsts.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("page_id").eqNullSafe(F.col("first_id")))
-        payloads = store.save(own.groupBy("key", "first_id").agg(F.first("payload").alias("payload")).select("key", "payload"), "payloads")
+        # One shuffle: the join and the aggregate partition by the same plain columns, a null id being its own value.
+        place = [F.coalesce("page_id", F.lit(0)).alias("place"), F.col("page_id").isNull().alias("unnamed")]
+        chosen = firsts.select("key", F.coalesce("first_id", F.lit(0)).alias("place"), F.col("first_id").isNull().alias("unnamed"))
+        own = rows.select(key.alias("key"), *place, "payload").join(chosen, ["key", "place", "unnamed"])
+        payloads = store.save(own.groupBy("key", "place", "unnamed").agg(F.first("payload").alias("payload")).select("key", "payload"), "payloads")
         store.drop("heads", "firsts")
-        return cls(headers, payloads)
+        return cls(headers, payloads, store.root)
 
     def verified(self) -> DataFrame:
         """Stored payloads with their SHA-1 and size; fails on one that does not match its key."""
@@ -105,4 +108,4 @@ class Archive:
 
 
 def open_archive(spark: SparkSession, root: str) -> Archive:
-    return Archive(spark.read.parquet(f"{root}/headers"), spark.read.parquet(f"{root}/payloads"))
+    return Archive(spark.read.parquet(f"{root}/headers"), spark.read.parquet(f"{root}/payloads"), root)

@@ -137,12 +137,50 @@ def test_archive_round_trip(spark):
     assert len(records) == 6 and records[1].endswith(b"\r\n\r\nsame\r\n\r\n") and b"Content-Length: 0\r\n\r\n\r\n\r\n" in records[3]
     assert b"\nX: y" not in records[3]
     assert archive.payloads.count() == 3
+    again = warc.open_archive(spark, archive.root)
+    assert sorted((r.page_id or 0, bytes(r.record)) for r in again.records().collect()) == sorted((r.page_id or 0, bytes(r.record)) for r in archive.records().collect())
+    assert {r.page_id: bytes(r.payload) for r in again.records().collect()} == {1: b"same", 2: b"", 3: b"same", 4: b"", 5: ("é" * 3000).encode(), None: b"same"}
     assert all(r.record_type == "response" for r in warc.Archive.write(pages, min_bytes=10_000).index().collect())
     broken = warc.Archive(archive.headers, archive.payloads.selectExpr("key", "cast(concat(payload, 'x') AS binary) AS payload"))
     with pytest.raises(Exception, match="does not match"):
         broken.index().collect()
 
 
+def test_archive_of_nothing(spark):
+    archive = warc.Archive.write(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert archive.index().count() == archive.records().count() == 0
+
+
+def test_records_of_pages_are_rebuilt(spark):
+    archive = warc.Archive.write(spark.read.parquet(f"{SF}/pages.parquet"))
+    html = {p["page_id"]: (p["html"] or "").encode() for p in table("pages")}
+    types = {r.page_id: r.record_type for r in archive.index().collect()}
+    got = archive.records().collect()
+    assert len(got) == len(html)
+    for r in got:
+        head, block = bytes(r.record).split(b"\r\n\r\n", 1)
+        assert bytes(r.payload) == html[r.page_id] and f"<urn:x-page:{r.page_id}>".encode() in head
+        assert block == (html[r.page_id] if types[r.page_id] == "response" else b"") + b"\r\n\r\n"
+
+
+def test_payloads_cross_one_shuffle(spark, monkeypatch):
+    plans = {}
+    save = Store.save
+
+    def seen(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return save(self, df, name)
+
+    monkeypatch.setattr(Store, "save", seen)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        warc.Archive.write(spark.read.parquet(f"{SF}/pages.parquet"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plans["payloads"].count("Exchange hashpartitioning(key") == 2  # one of payloads, one of ids
+
+
 def test_archive_of_pages(spark):
     first = {}
     for p in sorted(table("pages"), key=lambda p: p["page_id"]):
