@@ -77,11 +77,11 @@ class Archive:
         store.drop("heads", "firsts")
         return cls(headers, payloads, store.root)
 
-    def verified(self) -> DataFrame:
-        """Stored payloads with their SHA-1 and size; fails on one that does not match its key."""
+    def payloads_verified(self) -> DataFrame:
+        """Stored payloads by key; fails on one that does not match its key."""
         good = F.sha2("payload", 256) == F.lower(F.hex("key"))
         checked = F.when(good, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest "), F.hex("key"))).cast("binary"))
-        return self.payloads.select("key", checked.alias("payload")).select("key", "payload", base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("n_bytes"))
+        return self.payloads.select("key", checked.alias("payload"))
 
     def parsed(self) -> DataFrame:
         text = F.col("header").cast("string")
@@ -92,19 +92,28 @@ class Archive:
         def ident(name: str) -> Column:
             return F.expr(f"try_cast(nullif(regexp_extract(cast(header AS STRING), '\r\n{name}: {_URN}(-?[0-9]*)>', 1), '') AS BIGINT)")
 
-        return self.headers.select("key", "header", ident("WARC-Record-ID").alias("page_id"), field("WARC-Type").alias("record_type"), ident("WARC-Refers-To").alias("refers_to"), F.substring(field("WARC-Payload-Digest"), 6, 32).alias("header_sha1"))
-
-    def index(self) -> DataFrame:
-        """A row per record: page_id, payload_bytes, payload_digest, record_type, refers_to; no payload is moved."""
-        both = self.parsed().drop("header").join(self.verified().select("key", "sha1", "n_bytes"), "key")
-        digest = F.when(F.col("sha1") == F.col("header_sha1"), F.col("sha1")).otherwise(F.raise_error(F.lit("header and payload digests differ")).cast("string"))
-        return both.select("page_id", F.col("n_bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+        return self.headers.select("key", "header", ident("WARC-Record-ID").alias("page_id"), field("WARC-Type").alias("record_type"), ident("WARC-Refers-To").alias("refers_to"), F.substring(field("WARC-Payload-Digest"), 6, 32).alias("header_sha1"), field("Content-Length").try_cast("long").alias("header_bytes"))
 
     def records(self) -> DataFrame:
-        """page_id, the record's exact bytes and its payload (a revisit's is that of the record it refers to)."""
-        both = self.parsed().join(self.verified().select("key", "payload"), "key")
+        """Rebuilt records: page_id, the record's exact bytes, its payload (a revisit's is that of the record it refers
+        to) and what its header says. Spark may split the headers of a payload that very many pages share.
+        """
+        both = self.parsed().join(self.payloads_verified(), "key")
         block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-        return both.select("page_id", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+        return both.select("page_id", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"), "payload", "record_type", "refers_to", "header_sha1", "header_bytes", F.octet_length("header").alias("head_bytes"))
+
+    def index(self) -> DataFrame:
+        """A row per rebuilt record: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+        Size and digest are those of the payload read back; a record whose length or digest differs from what its header
+        says stops the read.
+        """
+        digest = base32_sha1(F.col("payload"))
+        whole = F.octet_length("record") == F.col("head_bytes") + F.col("header_bytes") + 4
+        rows = self.records().select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("sha1"), whole.alias("whole"), "header_sha1", "record_type", "refers_to")
+        good = F.col("whole") & (F.col("sha1") == F.col("header_sha1"))
+        checked = F.when(good, F.col("sha1")).otherwise(F.raise_error(F.lit("a record differs from its header")).cast("string"))
+        return rows.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
 
 
 def open_archive(spark: SparkSession, root: str) -> Archive:
