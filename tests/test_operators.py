@@ -168,9 +168,40 @@ def test_actions_are_parsed(spark):
     assert tuple(loose[4]) == ("split", 5, None)
 
 
-def test_json_reading_is_tolerant():
-    assert text.balanced_object('x ```json\n{"a": {"b": "}"}, // c\n}```') == '{"a": {"b": "}"}}'
-    assert text.balanced_object("{never") is None and text.balanced_object(None) is None
+def test_json_reading_is_tolerant(spark):
+    cases = {
+        'x ```json\n{"a": {"b": "}"}, // c\n}```': '{"a":{"b":"}"}}',
+        '{"u": "http://x/y, ]", "v": [1, 2,], } and {"u": 1}': '{"u":"http://x/y, ]","v":[1,2]}',
+        'say "so: {"a": "\\"//", // it"s\n "b": 1}': '{"a":"\\"//","b":1}',
+        "{never": None,
+        "{not} json": None,
+        "no object": None,
+        "": None,
+        None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: r.j for r in df.select("t", text.json_object(F.col("t")).alias("j")).collect()}
+    assert got == cases
+
+
+def test_actions_of_answers(spark):
+    cases = {
+        " keep\n": "KEEP",
+        '{"action": "split", "see": "http://a//b"}': "SPLIT",
+        "Well.\r\nAction : discard now": "DISCARD",
+        "< action >KEEP</ action>": "KEEP",
+        "Action: MERGE\nfinal answer: keep": "INVALID_ACTION",
+        "FINAL ANSWER: MERGE": "INVALID_ACTION",
+        "So.\n  SPLIT \n1.": "SPLIT",
+        "x\n  SPLIT \ny": "INVALID_ACTION",
+        "maybe keep, maybe not": "INVALID_ACTION",
+        "keep it" + "\nline" * 8: "PARSE_ERROR",
+        "": "PARSE_ERROR",
+        None: "PARSE_ERROR",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: r.a for r in df.select("t", text.extracted_action(F.col("t"), ["KEEP", "DISCARD", "SPLIT"]).alias("a")).collect()}
+    assert got == cases
 
 
 def test_interval_cutoff_is_a_distribution_quantile():
