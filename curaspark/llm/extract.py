@@ -1,7 +1,7 @@
 """Main text of web pages by scoring the element tree.
 
 Paragraphs pass points for length and commas to their ancestors, halved at each level up; a container's points are
-discounted by its share of link text. Where the page has articles, the best one is kept with its like. Elsewhere the best
+discounted by its share of link text. All containers compete. If an article wins, it is kept with its like; another
 container is kept with everything beside it that is not mostly links: headings, short paragraphs, sections and loose
 text, however short, also at each level up to a main element that holds it. The text is written block by block.
 
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg math xmp noembed noframes".split())
+#: Only these may close themselves by a slash; browsers ignore it elsewhere.
+_FOREIGN = frozenset("svg math".split())
 _DROPPED = frozenset("script style noscript template iframe svg math form nav footer aside head title button select option input textarea label fieldset dialog menu object embed applet canvas audio video map xmp noembed noframes".split())
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6".split())
@@ -42,8 +44,11 @@ _IMPLIED = {
 _JUNK = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|adslot|adbox|adunit|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side-?bar|aside|widget|footer|foot|masthead|site-?header|page-?header|header|comments?|comment-?list|disqus|replies|respond|reply|related|recommend(?:ed|ations)?|share|sharing|social|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|paywall|pagination|pager|toolbar|skip-?link|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|post|story|text|hentry)(?:$|[\s_-])", re.I)
 _JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+#: An attribute as browsers read it: quotes count only where a value starts, an unquoted value runs to white space or >.
+_NAME_VALUE = r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|$)|'([^']*+)(?:'|$)|([^\s>"'][^\s>]*+))?+)?+"""
+_ATTRIBUTE = re.compile(_NAME_VALUE)
+_ATTRIBUTES = rf"(?:[\s/]++|{re.sub(r'[(](?![?])', '(?:', _NAME_VALUE)})*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|$)", re.S)
 _SPACE = re.compile(r"\s+")
 
 
@@ -75,10 +80,12 @@ def parse(page: str) -> Node:
             attrs = {a.lower(): entities.unescape(x or y or z or "") for a, x, y, z in _ATTRIBUTE.findall(found[3])} if found[3] else {}
             new = Node(tag, attrs, node)
             node.items.append(new)
+            if tag in _FOREIGN and _ATTRIBUTE.sub("", found[3]).endswith("/"):
+                continue
             if tag in _RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
                 at = close.end() if close else end
-            elif tag not in _VOID and not found[3].endswith("/"):
+            elif tag not in _VOID:
                 node = new
         elif found[0].startswith("<![CDATA["):
             node.items.append(found[0][9:].removesuffix("]]>"))
@@ -127,7 +134,7 @@ def _measure(root: Node) -> list[Node]:
         order.append(node)
         inside |= node.tag in ("article", "main")
         node.items = [x for x in node.items if isinstance(x, str) or not _junk(x, inside)]
-        linked |= node.tag == "a"
+        linked |= node.tag == "a" and "href" in node.attrs
         node.size = sum(len(x.strip()) for x in node.items if isinstance(x, str))
         node.linked = node.size if linked else 0
         stack += [(x, inside, linked) for x in node.items if not isinstance(x, str)]
@@ -167,8 +174,7 @@ def _chosen(root: Node) -> list[Node]:
             articles += [node] if node.tag in ("article", "main") else []
             stack += [x for x in node.items if isinstance(x, Node)]
         return articles[:1] or [root]
-    articles = [x for x in containers if x.tag == "article" and x.size]
-    best = max(articles or containers, key=_score)
+    best = max(containers, key=_score)
     least = 0.2 * _score(best)
     if best.tag != "article":
         return [_with_siblings(best, least)]
