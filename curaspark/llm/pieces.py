@@ -88,33 +88,25 @@ class Normalizer:
             step, new = found or (_width(data[at]), data[at : at + _width(data[at])])
             units.append((at, new))
             at += step
-        if self.squeeze:
-            while units and not units[0][1].strip(b" "):
-                units.pop(0)
-            while units and not units[-1][1].strip(b" "):
-                units.pop()
-        if not units:
+        first = 0
+        while self.squeeze and first < len(units) and units[first][1] == b" ":
+            first += 1
+        if first == len(units):
             return b"", np.array([len(data)])
-        out, align = bytearray(), []
-        blank = self.squeeze
+        out, align, after_space = bytearray(), [], self.squeeze
         if self.prefix:
             out += space
-            align += [units[0][0]] * len(space)
-        for source, new in units:
-            for byte in new:
-                if byte == 32:
-                    if not (blank and self.squeeze):
-                        out += space
-                        align += [source] * len(space)
-                    blank = True
-                else:
-                    out.append(byte)
-                    align.append(source)
-                    blank = False
+            align += [units[first][0]] * len(space)
+        for source, new in units[first:]:
+            if new := new.lstrip(b" ") if after_space else new:
+                after_space = self.squeeze and new.endswith(b" ")
+                new = new.replace(b" ", space)
+                out += new
+                align += [source] * len(new)
+        align.append(len(data))
         while self.squeeze and out.endswith(space):
-            del out[-len(space) :], align[-len(space) :]
-        end = units[-1][0] + _width(data[units[-1][0]]) if self.squeeze else len(data)
-        return bytes(out), np.array([*align, end])
+            del out[-len(space) :], align[len(out) + 1 :]
+        return bytes(out), np.array(align)
 
 
 def _width(first: int) -> int:
@@ -122,16 +114,16 @@ def _width(first: int) -> int:
 
 
 class _Stretches(dict):
-    """Per stretch of normalised bytes: ids as decimal text, bytes under each piece, and its decoded bytes."""
+    """Per stretch of normalised bytes: its ids, the same as decimal text, and the bytes under each piece."""
 
     def __init__(self, codec: Codec, limit: int = 200_000):
         self.codec, self.limit = codec, limit
 
-    def __missing__(self, stretch: bytes) -> tuple[bytes, bytes, bytes]:
+    def __missing__(self, stretch: bytes) -> tuple[list[int], bytes, bytes]:
         if len(self) >= self.limit:
             self.clear()
         ids = self.codec.merge(stretch.decode())
-        got = b",".join(b"%d" % i for i in ids), np.array([self.codec.widths[i] for i in ids], np.uint8).tobytes(), b"".join([self.codec.surfaces[i] for i in ids])
+        got = ids, b",".join(b"%d" % i for i in ids), np.array([self.codec.widths[i] for i in ids], np.uint32).tobytes()
         if len(stretch) < 96:
             self[stretch] = got
         return got
@@ -152,9 +144,7 @@ class Codec:
         merger = sentencepiece.SentencePieceProcessor(model_proto=bare.SerializeToString())
         self.merge = lambda text: merger.encode(text, num_threads=1)
         byte = pb.ModelProto.SentencePiece.BYTE
-        control = pb.ModelProto.SentencePiece.CONTROL
-        self.surfaces = [bytes([int(p.piece[3:5], 16)]) if p.type == byte else b"" if p.type == control else p.piece.encode().replace(MARK, b" ") for p in model.pieces]
-        self.widths = [1 if p.type == byte else min(255, len(p.piece.encode())) for p in model.pieces]
+        self.widths = [1 if p.type == byte else len(p.piece.encode()) for p in model.pieces]
         longer = [p.piece.encode() for p in model.pieces if p.type != byte and len(p.piece) > 1]
         special = any(p.type in (pb.ModelProto.SentencePiece.USER_DEFINED,) for p in model.pieces)
         apart = model.trainer_spec.model_type == pb.TrainerSpec.BPE and model.trainer_spec.byte_fallback and not special and not any(MARK in x.lstrip(MARK) or (MARK in x and x.strip(MARK) and x.rstrip(MARK) != x) for x in longer)
@@ -162,19 +152,18 @@ class Codec:
         mark = re.escape(MARK)
         self.split = re.compile(rb"(?:%b)*(?:(?!%b)[^\n])+|(?:%b)+|\n" % (mark, mark, mark)).findall if lines else re.compile(rb"(?:%b)*(?:(?!%b)[\s\S])+|(?:%b)+" % (mark, mark, mark)).findall if apart else lambda x: [x] if x else []
         self.known = _Stretches(self)
-        self.prefix = model.normalizer_spec.add_dummy_prefix
 
-    def encode(self, text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, bytes]:
-        """Ids as decimal text joined by commas, first and end source byte of each piece, decoded bytes."""
+    def encode(self, text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, str]:
+        """Ids as decimal text joined by commas, first and end source byte of each piece, and what the ids decode to."""
         data = (text or "").encode()
         form, align = self.normalize(data)
         parts = [self.known[x] for x in self.split(form)]
         edges = np.zeros(1, np.int64)
         if parts:
-            edges = np.concatenate([edges, np.cumsum(np.frombuffer(b"".join([x[1] for x in parts]), np.uint8), dtype=np.int64)])
+            edges = np.concatenate([edges, np.cumsum(np.frombuffer(b"".join([x[2] for x in parts]), np.uint32), dtype=np.int64)])
         spans = align[edges]
-        decoded = b"".join([x[2] for x in parts])
-        return b",".join([x[0] for x in parts]), spans[:-1], spans[1:], decoded[1:] if self.prefix and decoded[:1] == b" " else decoded
+        ids = [i for x in parts for i in x[0]]
+        return b",".join([x[1] for x in parts]), spans[:-1], spans[1:], self.library.decode(ids) if ids else ""
 
 
 @lru_cache(2)
@@ -192,7 +181,7 @@ def _encoding(path: str):
         for batch in batches:
             rows = [codec.encode(x) for x in batch.column(1).to_pylist()]
             ids = [np.array(x[0].split(b",") if x[0] else [], np.int32) for x in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int32())) for c in (ids, [x[1].astype(np.int32) for x in rows], [x[2].astype(np.int32) for x in rows])), pa.array([x[3].decode("utf-8", "replace") for x in rows])], names=["doc_id", "ids", "span_start", "span_end", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int32())) for c in (ids, [x[1].astype(np.int32) for x in rows], [x[2].astype(np.int32) for x in rows])), pa.array([x[3] for x in rows], pa.string())], names=["doc_id", "ids", "span_start", "span_end", "decoded"])
 
     return run
 
@@ -204,7 +193,7 @@ def _digesting(path: str):
             out = []
             for ids, start, end, decoded in map(codec.encode, batch.column(1).to_pylist()):
                 spans = zlib.crc32(np.concatenate([start, end]).astype("<u4").tobytes())
-                out.append((ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest(), spans))
+                out.append((ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), spans))
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 
