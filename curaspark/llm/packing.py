@@ -151,7 +151,7 @@ class _Index:
         return None
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, exact: bool = True) -> list[tuple[list[int], int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """Patterns of lengths, each with how many sequences follow it; uses every piece counted once."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
@@ -167,7 +167,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, exact: bool = True) -
         spare[top] -= 1
         gap = capacity - top
         while gap:
-            if exact and (rest := index.fill(gap, spare)):
+            if rest := index.fill(gap, spare):
                 pattern += rest
                 break
             fits = np.flatnonzero(spare[1 : gap + 1])
@@ -218,7 +218,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     pieces = store.save(texts.mapInArrow(tidied(_cut(tokenizer, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"), "pieces")
     sizes = store.save(pieces.groupBy("part", "length").count(), "sizes")
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
-    patterns = min((plan(counts, capacity, exact) for exact in (True, False)), key=lambda x: sum(n for _, n in x))
+    patterns = plan(counts, capacity)
     before = F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("count")
     ranked = pieces.join(sizes.select("part", "length", before.alias("before")), ["part", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"))
