@@ -248,5 +248,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 def one_of_each_group(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that `near_duplicates` keeps, with all their columns; rows that repeat a doc_id stay or go together."""
-    kept = near_duplicates(docs, shingle_words, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    own, name = {c.lower() for c in docs.columns}, "kept_id"
+    while name in own:
+        name += "_"
+    kept = near_duplicates(docs, shingle_words, percent).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from curaspark.llm.common import Store, estimated_bytes, mix64, planes, tidied, unplanes, word_hashes
 
@@ -408,5 +409,7 @@ def repeated_substrings_cut(docs: DataFrame, window: int = 50, chunk_words: int
     marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "at")).alias("found"))
     joined = known.join(marks, "doc_id", "left").select("row", "doc_id", "text", "tag", "found")
     loose = rows.where("doc_id is null").select("row", "doc_id", "text", "tag", F.lit(None).cast("array<struct<tag:bigint,at:binary>>").alias("found"))
-    ddl = f"row {joined.schema['row'].dataType.simpleString()}, doc_id long, n_words long, n_removed long, kept_text string" + ", text string" * keep_text
-    return joined.unionAll(loose).mapInArrow(tidied(_cut(window, keep_text)), ddl)
+    schema = StructType([StructField("row", joined.schema["row"].dataType)])
+    for name, kind in [("doc_id", "long"), ("n_words", "long"), ("n_removed", "long"), ("kept_text", "string"), ("text", "string")][: 4 + keep_text]:
+        schema = schema.add(name, kind)
+    return joined.unionAll(loose).mapInArrow(tidied(_cut(window, keep_text)), schema)
