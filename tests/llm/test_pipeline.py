@@ -2,6 +2,7 @@
 
 import __spark_entry__
 import pytest
+from pyspark.sql import functions as F
 from test_ops import DOCS, ODD, brute_components, counts, cut
 
 import corpus_pipeline
@@ -67,3 +68,20 @@ def test_odd_tables(spark):
         got = stage(spark, docs, SF)
         assert got.count() <= len(ODD) or name == "best_fit_packing"
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+CLASHING = ("_kept", "kept", "kept_id", "text.b", "row", "tag", "host", "score", "found", "n_words", "a b", "rep", "key", "label", "quality", "v")
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_extra_columns_with_clashing_names_stay(spark, name, stage):
+    docs = spark.createDataFrame(ODD, DOCS)
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    got = stage(spark, docs, SF)
+    if name == "best_fit_packing":
+        assert {r.doc_id for r in got.collect()} == {r[0] for r in ODD}
+        return
+    assert got.columns == docs.columns
+    for r in got.collect():
+        assert all(r[c] == f"{c}:{'none' if r.doc_id is None else r.doc_id}" for c in CLASHING)
