@@ -170,12 +170,14 @@ def mode_delta(left: DataFrame, right: DataFrame, on: str, value: str) -> DataFr
 def prefix_priced(rows: DataFrame, prices: DataFrame, name: str = "model") -> DataFrame:
     """rows with the prices of the longest key that equals the lower-cased name or is followed by '-' in it.
 
-    Prices are a short table: every prefix of a name up to a '-' is looked up by equality, none is scanned.
+    Only distinct names are looked up: each prefix of one up to a '-' by equality. Names without a price, and null ones,
+    keep their rows with null prices.
     """
-    words = F.split(F.lower(F.col(name)), "-")
+    own = rows.select(F.col(name).alias("_name")).distinct()
+    words = F.split(F.lower("_name"), "-")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), "-"))
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_key", F.explode(prefixes))
     columns = [c for c in prices.columns if c != "key"]
-    hits = keyed.join(prices, F.col("_key") == F.col("key"), "left")
-    best = hits.groupBy("_row", *rows.columns).agg(F.max_by(F.struct("key", *columns), F.when(F.col("key").isNotNull(), F.length("key"))).alias("p"))
-    return best.select(*rows.columns, F.col("p.key").alias("pricing_key"), *(F.col(f"p.{c}").alias(c) for c in columns))
+    hits = own.where("_name is not null").withColumn("_key", F.explode(prefixes)).join(prices, F.col("_key") == F.col("key"))
+    best = hits.groupBy("_name").agg(F.max_by(F.struct("key", *columns), F.length("key")).alias("_best"))
+    found = rows.join(best, F.col(name) == F.col("_name"), "left")
+    return found.select(*rows.columns, F.col("_best.key").alias("pricing_key"), *(F.col(f"_best.{c}").alias(c) for c in columns))

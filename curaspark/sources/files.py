@@ -134,8 +134,10 @@ def discovered(spark: SparkSession, root: str, required: list[str]) -> DataFrame
 
 
 def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """A short table as markdown."""
-    got = rows.limit(limit).collect()
+    """A short table as markdown; one of more than `limit` rows is refused, not cut."""
+    got = rows.limit(limit + 1).collect()
+    if len(got) > limit:
+        raise ValueError(f"more than {limit} rows")
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in got)])
 
@@ -145,4 +147,5 @@ def write_text(text: str, path: str) -> None:
 
 
 def fixed(c: Column, digits: int = 4) -> Column:
-    return F.format_number(c, digits)
+    """Plain decimals without separators of thousands; null stays null."""
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c.cast("double")))

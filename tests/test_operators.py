@@ -250,6 +250,8 @@ def test_files_round_trip(spark, tmp_path):
     merged = files.settings(spark, {"a": {"x": 1, "y": 2}}, {"a": {"y": 3}, "b": 4}).first().asDict()
     assert merged == {"a_x": 1, "a_y": 3, "b": 4}
     assert "| 1 | a |" in files.markdown(rows)
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        files.markdown(rows.unionAll(rows), limit=1)
     both = files.with_all_columns(rows, spark.createDataFrame([("z",)], "note string"))
     assert both.where("note = 'z'").first().gt_action == ""
     files.write_once(rows, str(tmp_path / "p"))
@@ -370,3 +372,15 @@ def test_shapes_of_forests(spark):
     got = {r.cl: r for r in state.forest(tree, spark.createDataFrame(members, "channel_id long, cl long, oc long")).collect()}
     assert (got[1].kind, got[1].n_merges, got[1].n_roots) == ("complete", 2, 1) and math.isclose(got[1].height, 0.6)
     assert (got[2].kind, got[2].n_roots) == ("partial", 2) and (got[3].kind, got[3].n_merges) == ("flat", 0)
+
+
+def test_fixed_decimals(spark):
+    df = spark.createDataFrame([(1234567.89126,), (-0.5,), (None,)], "x double")
+    assert [r.t for r in df.select(files.fixed(F.col("x")).alias("t")).collect()] == ["1234567.8913", "-0.5000", None]
+
+
+def test_prices_of_the_longest_prefix(spark):
+    prices = spark.createDataFrame([("big", 1.0), ("big-mini", 2.0), ("bi", 9.0)], "key string, price double")
+    rows = spark.createDataFrame([(1, "BIG-mini-x"), (2, "big-max"), (3, "bigger"), (4, None), (1, "BIG-mini-x")], "i long, model string")
+    got = sorted((r.i, r.pricing_key, r.price) for r in matching.prefix_priced(rows, prices).collect())
+    assert got == [(1, "big-mini", 2.0), (1, "big-mini", 2.0), (2, "big", 1.0), (3, None, None), (4, None, None)]
