@@ -336,6 +336,35 @@ def test_unruled_urls_are_judged_inside_their_host(spark):
     assert got["http://deep.net/x/new/1"] == "block" and got["http://deep.net/y/new/1"] == got["http://deep.net/z/new/1"] == "allow"  # the nearest branch with labels
 
 
+def test_deep_urls_are_judged_by_their_own_labels(spark):
+    deep = "/".join(f"d{chr(97 + i % 26)}x" for i in range(300))
+    urls = [f"http://deep.org/{deep}/{side}/{i}" for side in ("bad", "good") for i in range(40)]
+    urls += [f"http://deep.org/{deep}", "http://deep.org/" + "a/" * 40, "http://deep.org/" + "a/" * 41 + "b"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block" if i < 40 else "allow") for i in range(80) if i % 2], "page_id long, label string")
+    got = rows(urlfilter.judged(pages, [], labels), "page_id")
+    assert all(got[i].verdict == ("block" if i < 40 else "allow") for i in range(80))
+    assert got[0].template == f"/{deep}/bad/{{n}}" and got[80].template == f"/{deep}"
+    assert got[80].verdict == got[81].verdict == got[82].verdict == "allow"
+
+
+def test_alike_siblings_merge_and_others_stay_apart(spark):
+    rates = {"a": 40, "b": 40, "c": 38, "d": 0, "e": 1, "f": 20, "g": None}  # blocked of 40
+    urls, labels = [], []
+    for d, blocked in rates.items():
+        for i in range(40):
+            if blocked is not None:
+                labels.append((len(urls), "block" if i < blocked else "allow"))
+            urls.append(f"http://h.org/{d}/x/{i}")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = urlfilter.judged(pages, [], spark.createDataFrame(labels, "page_id long, label string")).collect()
+    by = {d: {r.template for r in got if r.path.startswith(f"/{d}/")} for d in rates}
+    assert all(len(t) == 1 for t in by.values())
+    assert by["a"] == by["b"] == by["c"] != by["d"] == by["e"] != by["f"] == {"/f/x/{n}"} and by["g"] == {"/g/x/{n}"}
+    verdict = {r.path[1]: r.verdict for r in got}
+    assert [verdict[d] for d in "abcdefg"] == ["block"] * 3 + ["allow"] * 4
+
+
 def test_a_hot_host_sets_no_other_verdict(spark):
     urls = [f"http://hot.net/es/{i}" for i in range(3000)] + [f"http://calm{k}.com/a" for k in range(5)]
     urls += [f"http://calm{k}.com/b" for k in range(5)] + ["http://new.org/x", "http://one.net/es/1", "http://one.net/en/1"]
