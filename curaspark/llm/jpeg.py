@@ -7,6 +7,7 @@ to RGB. Scans whose code table makes every code alike are read in one step; any
 A payload is stored losslessly in the format's own unit, the quantised coefficient: the 63 AC coefficients of a block
 take a byte each, as the values of magnitude 128 to 255 whose coded bits are that byte. The DC coefficient is 0. Blocks
 fill the luma and the two chroma planes of a 4:2:0 image, in two spectral bands at half precision and one refinement.
+Images are written to a table in the shared folder; payloads, tensors and digests come from the bytes read back.
 
 Defined results: a null or empty text is one unit of zero bytes; rows that repeat give repeated rows, and equal texts
 equal values, since the inverse transform is exact integer arithmetic. Only doc_id and text are read.
@@ -24,7 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curaspark.llm.common import Store
+
 UNIT = 64
+_BATCH_BYTES = 16 << 20
 _SCALE = 20
 
 
@@ -377,8 +381,10 @@ class Decoder:
         """Samples of each component at full resolution."""
         out = []
         for c in self.components.values():
-            exact = (c.values * self.quants[c.quant]).astype(np.float64) @ BASIS
-            samples = np.clip(np.floor(exact * 2.0**-_SCALE + 128.5), 0, 255).astype(np.uint8)
+            samples = np.empty(c.values.shape, np.uint8)
+            for a in range(0, len(samples), 4096):  # a slice of blocks at a time, for products of bounded size
+                exact = (c.values[a : a + 4096] * self.quants[c.quant]).astype(np.float64) @ BASIS
+                samples[a : a + 4096] = np.clip(np.floor(exact * 2.0**-_SCALE + 128.5), 0, 255)
             plane = samples.reshape(-1, c.stride, 8, 8).swapaxes(1, 2).reshape(-1, 8 * c.stride)
             if (tall := self.most[1] // c.down) > 1:
                 plane = plane.repeat(tall, axis=0)
@@ -402,39 +408,59 @@ def feature(rgb: np.ndarray) -> str:
     return f"{rgb.shape[1]}x{rgb.shape[0]}:" + ":".join(map(str, rgb.reshape(-1, 3).sum(0, dtype=np.int64).tolist())) + f":{zlib.crc32(rgb.tobytes()):08x}"
 
 
-def _stored(text: str | None) -> tuple[int, bytes, Decoder]:
+def _stored(text: str | None) -> tuple[int, bytes]:
     data = (text or "").encode()
-    payload = data + bytes(max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data))
-    media = from_payload(payload)
-    return len(data), media, Decoder(media)
+    return len(data), from_payload(data + bytes(max(UNIT, -(-len(data) // UNIT) * UNIT) - len(data)))
+
 
+_WRITTEN = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+_ROWS = pa.schema([*_WRITTEN, ("payload", pa.binary()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())])
+_DIGESTS = pa.schema([*_WRITTEN][:2] + [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
-def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches go out by size, so that images of many long texts are never held at once."""
     for batch in batches:
+        rows, size = [], 0
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n, media, image = _stored(text)
+            n, media = _stored(text)
+            rows.append({"doc_id": doc_id, "n_bytes": n, "media": media})
+            size += len(media)
+            if size > _BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema=_WRITTEN)
+                rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=_WRITTEN)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc_id, n, media in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            image = Decoder(media)
             rgb = image.rgb()
-            yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "n_bytes": n, "media": media, "payload": image.payload(), "height": rgb.shape[0], "width": rgb.shape[1], "rgb": rgb.tobytes()}], schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())]))
+            yield pa.RecordBatch.from_pylist([{"doc_id": doc_id, "n_bytes": n, "media": media, "payload": image.payload(), "height": rgb.shape[0], "width": rgb.shape[1], "rgb": rgb.tobytes()}], schema=_ROWS)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text in batch.column(1).to_pylist():
-            n, media, image = _stored(text)
+        for doc_id, n, media in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            image = Decoder(media)
             back = image.payload()
-            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(image.rgb())))
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
+            rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(image.rgb())))
+        yield pa.RecordBatch.from_pylist([dict(zip(_DIGESTS.names, r, strict=True)) for r in rows], schema=_DIGESTS)
+
+
+def media_table(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and media (the JPEG), written to the shared folder and read back."""
+    media = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encoded, "doc_id long, n_bytes long, media binary")
+    return Store(docs.sparkSession, "media").save(media, "media")
 
 
 def media_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (the JPEG), payload (read back), height, width and rgb, row by row of three bytes a pixel."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_media, "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary")
+    """`media_table` with what its stored bytes hold: payload, height, width and rgb, row by row of three bytes a pixel."""
+    return media_table(docs).mapInArrow(_decoded, "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """What `media_rows` gives, as sizes and digests."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media_table(docs).mapInArrow(_digested, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

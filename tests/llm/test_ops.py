@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import html
+import math
 import re
 import zlib
 
@@ -641,6 +642,39 @@ def test_chroma_is_upsampled():
     assert rgb.shape == (16, 16, 3) and rgb.dtype == np.uint8
 
 
+def plain_feature(payload):
+    """What `feature` says of a stored payload, from its layout, sample by sample."""
+    units = -(-max(1, -(-len(payload) // 63)) // 6)
+    across = math.ceil(math.sqrt(units))
+    down = -(-units // across)
+    data = payload.ljust(across * down * 378, b"\0")
+    norm = lambda u: math.sqrt(1 / 8) if u == 0 else 0.5
+    weight = {(u, v, y, x): round(norm(u) * math.cos((2 * y + 1) * u * math.pi / 16) * norm(v) * math.cos((2 * x + 1) * v * math.pi / 16) * 2**20) for u in range(8) for v in range(8) for y in range(8) for x in range(8)}
+    zigzag = [(d - c if d % 2 == 0 else c, c if d % 2 == 0 else d - c) for d in range(15) for c in range(d + 1) if c < 8 and d - c < 8]
+    samples = {}
+    for plane, (first, wide, tall) in enumerate(((0, 2 * across, 2 * down), (4 * across * down, across, down), (5 * across * down, across, down))):
+        for b in range(wide * tall):
+            cells = [(u, v, x if x > 127 else x - 255) for (u, v), x in zip(zigzag[1:], data[63 * (first + b) : 63 * (first + b + 1)], strict=True)]
+            for y in range(8):
+                for x in range(8):
+                    value = (sum(c * weight[u, v, y, x] for u, v, c in cells) + (257 << 19)) >> 20
+                    samples[plane, 8 * (b // wide) + y, 8 * (b % wide) + x] = min(max(value, 0), 255)
+    out = bytearray()
+    for y in range(16 * down):
+        for x in range(16 * across):
+            luma, blue, red = samples[0, y, x] * 65536 + 32768, samples[1, y // 2, x // 2] - 128, samples[2, y // 2, x // 2] - 128
+            out += bytes(min(max(p >> 16, 0), 255) for p in (luma + 91881 * red, luma - 22554 * blue - 46802 * red, luma + 116130 * blue))
+    return f"{16 * across}x{16 * down}:{sum(out[::3])}:{sum(out[1::3])}:{sum(out[2::3])}:{zlib.crc32(out):08x}"
+
+
+def test_features_by_brute_force(spark):
+    texts = {0: None, 1: "", 2: "one two", 3: "x" * 379, 4: "ключ \x01 漢字 " * 60, 5: "".join(chr(33 + i * 7 % 90) for i in range(1400))}
+    got = rows(jpeg.media_digests(spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")), "doc_id")
+    for i, t in texts.items():
+        data = (t or "").encode()
+        assert got[i].feature == plain_feature(data.ljust(max(64, -(-len(data) // 64) * 64), b"\0"))
+
+
 def test_media_of_documents(spark, odd, empty):
     docs = odd.unionAll(spark.read.parquet(f"{SF}/documents.parquet"))
     texts = collections.defaultdict(set)
