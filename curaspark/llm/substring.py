@@ -13,7 +13,7 @@ words, so:
 
 Hot passages: a task resolves what its own chunk of texts shares (about `chunk_words` words) and sends one entry a
 key, so a passage in a third of all documents costs a bucket one entry a chunk, not one a document. Buckets are sized
-by Catalyst's estimate of the input and handled one at a time.
+by the bytes of all texts, dealt to as many tasks as they need and handled one at a time.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing; rows without a doc_id
 neither lose words nor take any; rows that repeat a doc_id do not affect each other. Only doc_id and text are read.
@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from curaspark.llm.common import Store, estimated_bytes, mix64, planes, tidied, unplanes, word_hashes
+from curaspark.llm.common import Store, mix64, planes, tidied, unplanes, word_hashes
 
 CHUNK_WORDS = 2_000_000
-BUCKET_WORDS = 1_000_000
+BUCKET_WORDS, WORD_BYTES = 1_000_000, 6
+#: A task resolves about so many buckets, unless the session deals shuffles to more tasks.
+TASK_BUCKETS = 4
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -379,9 +381,9 @@ def _cut(window: int, keep_text: bool):
 
 
 def _bucket_count(docs: DataFrame) -> int:
-    size = estimated_bytes(docs)
-    words = size // 3 if size < 2**60 else 0
-    return 1 << min(24, max(8, (words // BUCKET_WORDS).bit_length()))
+    """A power of two: about `BUCKET_WORDS` words a bucket, by the bytes of all texts; bucket numbers are 31 bits."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")).alias("size")).first()["size"] or 0
+    return 1 << min(31, max(8, (size // WORD_BYTES // BUCKET_WORDS).bit_length()))
 
 
 def repeated_substrings_cut(docs: DataFrame, window: int = 50, chunk_words: int = CHUNK_WORDS, keep_text: bool = False) -> DataFrame:
@@ -396,10 +398,11 @@ def repeated_substrings_cut(docs: DataFrame, window: int = 50, chunk_words: int
     rows = docs.select(rest.alias("row"), *plain, F.xxhash64("text").alias("tag"))
     known = rows.where("doc_id is not null")  # its shuffle by doc_id, all columns, serves both joins
     bits = buckets.bit_length() - 1
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // TASK_BUCKETS)
 
     def met(entries: DataFrame, resolve, *kinds) -> DataFrame:
-        slices = entries.repartition("p").sortWithinPartitions("p").mapInArrow(tidied(_meeting(resolve, *kinds, bits)), _ENTRY_DDL)
-        return slices.repartition("p").sortWithinPartitions("p").mapInArrow(tidied(_gathered), _FOUND_DDL)
+        slices = entries.repartition(tasks, "p").sortWithinPartitions("p").mapInArrow(tidied(_meeting(resolve, *kinds, bits)), _ENTRY_DDL)
+        return slices.repartition(tasks, "p").sortWithinPartitions("p").mapInArrow(tidied(_gathered), _FOUND_DDL)
 
     store = Store(docs.sparkSession, "substring")
     hits = met(known.select("doc_id", "text").mapInArrow(tidied(_probe(window, block, chunk_words, buckets)), _ENTRY_DDL), _hits(block), np.uint32, np.uint8)
