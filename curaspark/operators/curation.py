@@ -73,10 +73,17 @@ def merge_candidates(labels: DataFrame) -> DataFrame:
     return got.where(F.size("clusters") > 1).select("channel_id", "dominant_gt", F.size("clusters").cast("bigint").alias("n_clusters"), F.array_join(F.transform("clusters", lambda c: c.cast("string")), ",").alias("clusters"))
 
 
+def best_by_correlation(pairs: DataFrame) -> DataFrame:
+    """The large cluster that correlates best with each small one, the least on ties, of pairs (channel_id, small, large, corr)."""
+    best = F.max_by(F.struct("large", "corr"), F.struct(F.col("corr"), -F.col("large"))).alias("b")
+    return pairs.where("corr > -1").groupBy("channel_id", "small").agg(best).select("channel_id", "small", "b.large", "b.corr")
+
+
 def heuristic_merges(sizes: DataFrame, rates: DataFrame, pairs: DataFrame, least_corr: float = 0.3, most_isi: float = 0.005, early_isi: float = 0.1, early_n: int = 1000) -> DataFrame:
     """Small clusters: DISCARD early by violations and size; MERGE into the best large one by correlation, or DISCARD.
 
-    sizes: channel_id, cl, n, size_class; rates: channel_id, cl, rate; pairs: channel_id, small, large, corr, merged_isi.
+    sizes: channel_id, cl, n, size_class; rates: channel_id, cl, rate; pairs: channel_id, small, large, corr, merged_isi,
+    all of them or those of best_by_correlation(), as no others decide.
     """
     small = sizes.where("size_class = 'small'").join(rates, UNIT)
     best = pairs.where("corr > -1").groupBy("channel_id", F.col("small").alias("cl")).agg(F.max_by(F.struct("large", "corr", "merged_isi"), F.struct(F.col("corr"), -F.col("large"))).alias("b"))

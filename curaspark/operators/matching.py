@@ -130,6 +130,15 @@ def small_large_pairs(classes: DataFrame) -> DataFrame:
     return small.join(large, "channel_id")
 
 
+def least_by_size(classes: DataFrame) -> DataFrame:
+    """Small clusters, and of the large ones of a channel that have equally many events the one of least id.
+
+    Of pairs whose score depends on their sizes alone no others can be best, if the least id wins ties.
+    """
+    least = F.when(F.col("size_class") == "large", F.lit(0)).otherwise(F.col("cl"))
+    return classes.groupBy("channel_id", "n", "size_class", least.alias("_own")).agg(F.min("cl").alias("cl")).select("channel_id", "cl", "n", "size_class")
+
+
 def first_accepted(pairs: DataFrame, accepted: Column) -> DataFrame:
     """For each small cluster the first large one, in order of id, that `accepted` takes; null if none."""
     return pairs.groupBy("channel_id", "small").agg(F.min(F.when(accepted, F.col("large"))).alias("large"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curaspark.operators import curation, matching, units
@@ -168,18 +168,25 @@ def student_predictions(labels: DataFrame, tree: DataFrame, student: Callable[[S
 def heuristic_labels(spikes: DataFrame, similarity: DataFrame, tref: float, least: int = 500, large: int = 4000, final: int = 5000, **limits: float) -> DataFrame:
     """Events relabelled by the rule-based run: size filter, merges or discards of small clusters, final size filter.
 
-    similarity: channel_id, small, large, corr for any pairs. Nothing but events and short tables is joined.
+    similarity: channel_id, small, large, corr for any pairs. Sizes and decisions are by cluster, so filters and moves are
+    composed on that short table and events take their label in one join; merged intervals are counted for the best
+    pair of each small cluster only.
     """
-    first = curation.size_filtered(spikes, least)
-    sizes = matching.size_classes(first, large)
-    pairs = matching.small_large_pairs(sizes).join(similarity, ["channel_id", "small", "large"])
-    merged = matching.merged_intervals(first, pairs.select("channel_id", F.col("small").alias("a"), F.col("large").alias("b")), tref)
-    scored = pairs.join(merged.select("channel_id", F.col("a").alias("small"), F.col("b").alias("large"), "merged_isi"), ["channel_id", "small", "large"])
-    actions = curation.heuristic_merges(sizes, units.interval_violations(first, tref), scored, **limits)
+    sizes = spikes.where(F.col("cl") != matching.NOISE).groupBy(*matching.UNIT).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    classes = sizes.withColumn("size_class", F.when(F.col("n") < large, "small").otherwise("large"))
+    ends = {c: classes.where(F.col("size_class") == c).select("channel_id", F.col("cl").alias(c)) for c in ("small", "large")}
+    pairs = similarity.join(ends["small"], ["channel_id", "small"], "left_semi").join(ends["large"], ["channel_id", "large"], "left_semi")
+    best = curation.best_by_correlation(pairs)
+    merged = matching.merged_intervals(spikes, best.select("channel_id", F.col("small").alias("a"), F.col("large").alias("b")), tref)
+    scored = best.join(merged.select("channel_id", F.col("a").alias("small"), F.col("b").alias("large"), "merged_isi"), ["channel_id", "small", "large"])
+    actions = curation.heuristic_merges(classes, units.interval_violations(spikes, tref), scored, **limits)
     new = F.when(F.col("action") == "MERGE", F.col("best_large")).otherwise(F.lit(matching.NOISE).cast("bigint"))
-    moves = actions.select("channel_id", "cl", new.alias("new"), F.lit(True).alias("moved"))
-    joined = first.join(moves, ["channel_id", "cl"], "left")
-    return curation.size_filtered(joined.withColumn("cl", F.when(F.col("moved"), F.col("new")).otherwise(F.col("cl"))).drop("new", "moved"), final)
+    moved = actions.select("channel_id", "cl", "n", new.alias("new"))
+    kept = classes.where("size_class = 'large'").select("channel_id", "cl", "n", F.col("cl").alias("new"))
+    total = F.sum("n").over(Window.partitionBy("channel_id", "new"))  # over clusters, not events
+    final_label = F.when(total >= final, F.col("new")).otherwise(F.lit(matching.NOISE).cast("bigint"))
+    labels = moved.unionByName(kept).where(F.col("new") != matching.NOISE).select("channel_id", "cl", final_label.alias("new"))
+    return spikes.join(labels, matching.UNIT, "left").withColumn("cl", F.coalesce("new", F.when(F.col("cl").isNotNull(), F.lit(matching.NOISE).cast("bigint")))).drop("new")
 
 
 def training_pairs(spikes: DataFrame, expert: DataFrame, least_large: int, every: int = 8) -> DataFrame:

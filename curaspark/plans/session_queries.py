@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curaspark.functions import arrays, text
 from curaspark.operators import alignment, curation, datasets, matching, pipelines, retrieval, state, summaries, units
-from curaspark.plans.unit_queries import SPIKES, TREF, expert_pairs, rounded
+from curaspark.plans.unit_queries import SPIKES, TREF, correlated, expert_pairs, rounded
 from curaspark.sources.tables import merge_tree, spikes, table, waves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -435,8 +435,7 @@ SELECT g.channel_id, g.spike_id, CAST(CASE WHEN fin.cl IS NULL THEN 0 ELSE g.cl
 def heuristic_pipeline(spark, sf_dir):
     s = spikes(spark, sf_dir)
     sizes = matching.size_classes(curation.size_filtered(s, 58), 68)
-    similarity = matching.small_large_pairs(sizes).select("channel_id", "small", "large", F.round(1.0 - F.abs(F.col("n_large") - F.col("n_small")) / 100.0, 9).alias("corr"))
-    return pipelines.heuristic_labels(s, similarity, TREF, 58, 68, 75, most_isi=0.17, early_n=60).select("channel_id", "spike_id", "cl")
+    return pipelines.heuristic_labels(s, correlated(sizes), TREF, 58, 68, 75, most_isi=0.17, early_n=60).select("channel_id", "spike_id", "cl")
 
 
 @query()
