@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curaspark.operators.units import UNIT, intervals
+from curaspark.operators import trains
+from curaspark.operators.units import UNIT
 
 
 def principal_components(waves: DataFrame, k: int = 2) -> DataFrame:
@@ -56,21 +57,22 @@ def interval_quality(spikes: DataFrame, pairs: DataFrame, fs: float, tref: float
     f, cutoff = interval_cutoff(tref, tmin, tmax)
     step = tmax / (max(2, math.floor(tmax * fs)) - 1)
     last = math.floor(tref / step + 1e-9)
-    key = ["channel_id", "a", "b"]
-    slot = F.floor(F.col("isi") / step + 0.5).cast("int").alias("bin")
-    both = pairs.select(*key, F.explode(F.array("a", "b")).alias("cl"))
-    own = intervals(spikes).where(F.col("isi") < tmax).join(both, UNIT).select(*key, F.when(F.col("cl") == F.col("a"), "first").otherwise("second").alias("who"), slot)
-    joint = spikes.join(both, UNIT).withColumn("isi", F.col("t") - F.lag("t").over(Window.partitionBy(*key).orderBy("t")))
-    joint = joint.where(F.col("isi") < tmax).select(*key, F.lit("joint").alias("who"), slot)
-    counts = own.unionByName(joint).groupBy(*key, "bin").pivot("who", ["first", "second", "joint"]).count().na.fill(0, ["first", "second", "joint"])
-    whole, upto = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    rows = counts.select(*key, "bin", *(c for w in ("first", "second", "joint") for c in (F.sum(w).over(upto).alias(f"{w}_sum"), F.greatest(F.lit(1), F.sum(w).over(whole)).alias(f"{w}_n"))))
-    share = {w: F.col(f"{w}_sum") / F.col(f"{w}_n") for w in ("first", "second", "joint")}
-    within = F.col("bin") <= last
+
+    def classify(gap: np.ndarray) -> np.ndarray:
+        slot = np.floor(np.where(gap < tmax, gap, 0.0) / step + 0.5)
+        return np.where(gap < tmax, np.minimum(slot, last + 1), last + 2).astype(np.int64)
+
+    reach = [min(tmax, (i + 0.5) * step) for i in range(last + 1)] + [tmax]
+    got = trains.gap_classes(spikes, pairs, classify, reach).where(F.exists("joint", lambda x: x > 0))
+    names = ("first", "second", "joint")
+    sums = [sum((F.get(w, F.lit(j)) for j in range(1, i + 1)), F.get(w, F.lit(0))).alias(f"{w}_{i}") for w in names for i in range(last + 2)]
+    rows = got.select("channel_id", "a", "b", *sums)
+    n = {w: F.greatest(F.lit(1), F.col(f"{w}_{last + 1}")) for w in names}
+    share = {w: [F.col(f"{w}_{i}") / n[w] for i in range(last + 1)] for w in names}
 
     def statistic(w: str):
-        size = F.sqrt(F.col(f"{w}_n") * F.col("joint_n") / (F.col(f"{w}_n") + F.col("joint_n")))
-        return F.greatest(F.lit(0.0), F.coalesce(F.max(F.when(within, size * (share["joint"] - share[w]))), F.lit(0.0)))
+        size = F.sqrt(n[w] * n["joint"] / (n[w] + n["joint"]))
+        return F.greatest(F.lit(0.0), *(size * (x - y) for x, y in zip(share["joint"], share[w], strict=True)))
 
-    got = rows.groupBy(*key).agg(statistic("first").alias("d_first"), statistic("second").alias("d_second"), *(F.coalesce(F.max(F.when(within, share[w])) / f, F.lit(0.0)).alias(f"score_{w}") for w in share))
+    got = rows.select("channel_id", "a", "b", statistic("first").alias("d_first"), statistic("second").alias("d_second"), *((share[w][last] / f).alias(f"score_{w}") for w in names))
     return got.withColumn("allow", (F.col("d_first") <= cutoff) & (F.col("d_second") <= cutoff))
