@@ -25,9 +25,8 @@ def by_purity(threshold: float = 0.8) -> Phase1:
     """The right decision of phase 1 from true labels."""
 
     def decide(session: Session, cluster: int) -> str:
-        own = session.counts[session.counts["oc"].map(session.label) == cluster].groupby("gt")["n"].sum()
-        real = own[own.index != matching.NOISE]
-        return "DISCARD" if not real.sum() else "SPLIT" if real.max() / own.sum() < threshold else "KEEP"
+        unit, purity = session.dominant(cluster)
+        return "DISCARD" if unit is None else "SPLIT" if purity < threshold else "KEEP"
 
     return decide
 
@@ -36,11 +35,8 @@ def by_dominant() -> Phase2:
     """The right decision of phase 2: MERGE if both clusters are mostly of one unit."""
 
     def decide(session: Session, small: int, large: int) -> str:
-        rows = session.counts.assign(cl=session.counts["oc"].map(session.label))
-        top = [rows[(rows["cl"] == c) & (rows["gt"] != matching.NOISE)].groupby("gt")["n"].sum() for c in (small, large)]
-        if not len(top[0]):
-            return "DISCARD"
-        return "MERGE" if len(top[1]) and top[0].idxmax() == top[1].idxmax() else "NOT_MERGE"
+        unit = session.dominant(small)[0]
+        return "DISCARD" if unit is None else "MERGE" if session.dominant(large)[0] == unit else "NOT_MERGE"
 
     return decide
 
@@ -66,12 +62,12 @@ def run_phases(session: Session, phase1: Phase1, phase2: Phase2, least: int = 50
         action = phase1(session, cluster)
         if action == "DISCARD":
             discard("Phase1", cluster)
-        elif action == "SPLIT" and any(row[0] == cluster for row in session.tree):
-            before = set(session.active())
+        elif action == "SPLIT" and session.merged(cluster):
+            before = len(session.active())
             ids = session.split_last(cluster)
             log.append(("Phase1", cluster, ids[1], "SPLIT"))
-            if set(session.active()) != before:
-                queue[:0] = [i for i in ids if i in session.active()]
+            if len(session.active()) != before or not session.alive(cluster):
+                queue[:0] = [i for i in ids if session.alive(i)]
         else:
             log.append(("Phase1", cluster, None, "KEEP"))
     sizes = {c: session.size(c) for c in session.active()}
@@ -103,9 +99,9 @@ def replay_sheet(session: Session, sheet: Iterable[tuple[str, int, int | None]])
     """Applies human actions (action, cluster, target) in order; a step on a missing cluster is skipped, not an error."""
     out = []
     for step, (action, cluster, target) in enumerate(sheet):
-        live = cluster in session.active() and (target is None or target in session.active())
+        live = session.alive(cluster) and (target is None or session.alive(target))
         if live and action == "split":
-            if any(row[0] == cluster for row in session.tree):
+            if session.merged(cluster):
                 session.split_last(cluster)
             else:
                 live = False
@@ -123,7 +119,7 @@ def evaluate_student(session: Session, student: Callable[[Session, int], str], t
     queue, done = session.active(), set()
     while queue:
         cluster = queue.pop(0)
-        if cluster in done or cluster not in session.active():
+        if cluster in done or not session.alive(cluster):
             continue
         done.add(cluster)
         gt, chosen = right1(session, cluster), student(session, cluster)
@@ -137,7 +133,7 @@ def evaluate_student(session: Session, student: Callable[[Session, int], str], t
         elif gt == "MERGE" and target is not None:
             session.merge([cluster, target], target)
         elif gt == "SPLIT":
-            ids = session.split_last(cluster) if any(row[0] == cluster for row in session.tree) else session.split_fine(cluster)
+            ids = session.split_last(cluster) if session.merged(cluster) else session.split_fine(cluster)
             queue += [i for i in ids if i not in done]
     return out
 
