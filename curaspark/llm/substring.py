@@ -11,6 +11,9 @@ words, so:
    maximal exact repeats, without ever comparing documents by pairs.
 3. words under marked windows are cut.
 
+Memory: a worker holds one chunk or one bucket, sorts a chunk bucket by bucket, and opens texts and entries a few at a
+time, whatever the engine puts in a batch.
+
 Hot passages: a task resolves what its own chunk of texts shares (about `chunk_words` words) and sends one entry a
 key, so a passage in a third of all documents costs a bucket one entry a chunk, not one a document. Buckets are sized
 by the bytes of all texts, dealt to as many tasks as they need and handled one at a time.
@@ -35,6 +38,8 @@ CHUNK_WORDS = 2_000_000
 BUCKET_WORDS, WORD_BYTES = 1_000_000, 6
 #: A task resolves about so many buckets, unless the session deals shuffles to more tasks.
 TASK_BUCKETS = 4
+#: Rows of a batch that are opened at a time: texts, and entries of buckets; entries leave in batches of about so many bytes.
+TEXT_ROWS, ENTRY_ROWS, ENTRY_BYTES = 256, 16, 4 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -65,6 +70,12 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
+def _some(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices, which share its memory: Python values of all its rows would take a multiple of it."""
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
 def _slices(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.zeros(0, np.int64)
     return starts, np.r_[starts[1:], len(sorted_values)].astype(np.int64)[: len(starts)]
@@ -120,27 +131,28 @@ class _Chunk:
         order = np.argsort(np.array(self.docs, np.int64), kind="stable")
         docs, tags = np.array(self.docs, np.int64)[order], np.array(self.tags, np.int64)[order]
         parts = [self.parts[i] for i in order]
-        owner = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
         self.clear()
-        rows = []
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x[0]) for x in parts])
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        del parts
+        rows, size = [], 0
         for row in self.make(docs, tags, owner, columns, self.bits):
             rows.append(row)
-            if len(rows) >= 256:
+            size += sum(map(len, row[2:]))
+            if len(rows) >= 256 or size >= ENTRY_BYTES:
                 yield pa.RecordBatch.from_pylist([dict(zip(_ENTRY.names, r, strict=True)) for r in rows], schema=_ENTRY)
-                rows = []
+                rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist([dict(zip(_ENTRY.names, r, strict=True)) for r in rows], schema=_ENTRY)
 
 
-def _scattered(bits: int, kind: int, docs, tags, owner, pos, key, key2, where) -> Iterator[tuple]:
-    """Entries in order of owner and position, dealt to buckets by `where`."""
-    small = where.astype(np.uint16 if bits <= 16 else np.uint32)
-    order = np.argsort(small, kind="stable")
-    small = small[order]
-    for a, b in zip(*_slices(small), strict=True):
-        i = order[a:b]
-        yield _entry(int(small[a]), kind, docs, tags, owner[i], pos[i], key[i], key2[i])
+def _dealt(key: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its keys, in order; equal keys share a bucket."""
+    where = (key >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+    order = np.argsort(where, kind="stable")
+    where = where[order]
+    for a, b in zip(*_slices(where), strict=True):
+        yield int(where[a]), order[a:b]
 
 
 def _runs(key: np.ndarray, key2: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -160,22 +172,22 @@ def _runs(key: np.ndarray, key2: np.ndarray | None = None) -> tuple[np.ndarray,
 def _probing(block: int):
     def make(docs, tags, owner, columns, bits) -> Iterator[tuple]:
         gram, pos = columns
-        doc = docs[owner]
-        order, starts = _runs(gram)
-        d = doc[order]
-        many = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
         shared = np.zeros(len(gram), bool)
-        run = np.repeat(many, np.diff(np.r_[starts, len(order)]))
-        shared[order] = run
-        where, rest = (gram >> np.uint64(64 - bits)).astype(np.uint32), ((gram >> np.uint64(64 - bits - 24)) & np.uint64(0xFFFFFF)).astype(np.uint32)
-        i = np.flatnonzero(~shared)
-        yield from _scattered(bits, _ASK, docs, tags, owner[i], pos[i], rest[i], np.zeros(len(i), np.uint8), where[i])
-        if many.any():
-            aligned = np.logical_or.reduceat((pos[order] % block) == 0, starts) & many
-            firsts = order[starts[aligned]]
-            firsts.sort()
-            yield from _scattered(bits, _INDEX, docs, tags, owner[firsts], pos[firsts], rest[firsts], np.zeros(len(firsts), np.uint8), where[firsts])
-            yield from _locals(bits, docs, tags, owner, pos, np.flatnonzero(shared))
+        for p, i in _dealt(gram, bits):
+            order, starts = _runs(gram[i])
+            d = docs[owner[i[order]]]
+            many = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
+            here = np.repeat(many, np.diff(np.r_[starts, len(order)]))
+            shared[i[order[here]]] = True
+            firsts = np.zeros(0, np.int64)
+            if many.any():
+                aligned = np.logical_or.reduceat((pos[i[order]] % block) == 0, starts) & many
+                firsts = np.sort(i[order[starts[aligned]]])
+            for kind, j in ((_ASK, i[~shared[i]]), (_INDEX, firsts)):
+                if len(j):
+                    rest = ((gram[j] >> np.uint64(64 - bits - 24)) & np.uint64(0xFFFFFF)).astype(np.uint32)
+                    yield _entry(p, kind, docs, tags, owner[j], pos[j], rest, np.zeros(len(j), np.uint8))
+        yield from _locals(bits, docs, tags, owner, pos, np.flatnonzero(shared))
 
     return make
 
@@ -190,22 +202,23 @@ def _locals(bits: int, docs, tags, owner, pos, i) -> Iterator[tuple]:
 
 def _extending(docs, tags, owner, columns, bits) -> Iterator[tuple]:
     key, key2, pos = columns
-    doc = docs[owner]
-    order, starts = _runs(key, key2)
-    least = np.empty(len(key), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.r_[starts, len(order)]))
-    i = np.flatnonzero(doc == least)
-    yield from _scattered(bits, _ASK, docs, tags, owner[i], pos[i], key[i], key2[i], (key[i] >> np.uint64(64 - bits)).astype(np.uint32))
-    j = np.flatnonzero(doc > least)
-    if len(j):
-        yield from _locals(bits, docs, tags, owner, pos, j)
+    late = np.zeros(len(key), bool)
+    for p, i in _dealt(key, bits):
+        doc = docs[owner[i]]
+        order, starts = _runs(key[i], key2[i])
+        least = np.empty(len(i), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.r_[starts, len(order)]))
+        late[i] = doc > least
+        j = i[doc == least]
+        yield _entry(p, _ASK, docs, tags, owner[j], pos[j], key[j], key2[j])
+    yield from _locals(bits, docs, tags, owner, pos, np.flatnonzero(late))
 
 
 def _probe(window: int, block: int, chunk_words: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, chunk = _Rolling(_BASES[0]), _Chunk(chunk_words, buckets, _probing(block))
-        for batch in batches:
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for some in (x for batch in batches for x in _some(batch, TEXT_ROWS)):
+            for doc_id, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
                 words = _words(text)
                 if len(words) >= window:
                     gram = rolling(word_hashes(words), block)
@@ -223,8 +236,8 @@ def _merged(found: list[bytes]) -> np.ndarray:
 def _extend(window: int, block: int, chunk_words: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two, chunk = _Rolling(_BASES[0]), _Rolling(_BASES[1]), _Chunk(chunk_words, buckets, _extending)
-        for batch in batches:
-            for doc_id, text, tag, found in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+        for some in (x for batch in batches for x in _some(batch, TEXT_ROWS)):
+            for doc_id, text, tag, found in zip(*(c.to_pylist() for c in some.columns[1:]), strict=True):
                 words = _words(text)
                 n = len(words) - window + 1
                 if n < 1:
@@ -286,8 +299,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.array(tag[starts]), pa.array(at, pa.binary())], schema=_FOUND)
 
     part, held = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
+    for some in (x for batch in batches for x in _some(batch, ENTRY_ROWS)):
+        for row in some.to_pylist():
             if row["p"] != part and held:
                 yield merged(held)
                 held = []
@@ -307,8 +320,8 @@ def _meeting(resolve, key_type, key2_type, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, bucket, held = _Found(bits), None, []
-        for batch in batches:
-            for row in batch.to_pylist():
+        for some in (x for batch in batches for x in _some(batch, ENTRY_ROWS)):
+            for row in some.to_pylist():
                 if row["p"] != bucket:
                     if held and found.add(*resolve(held)):
                         yield from found.flush()
@@ -328,16 +341,16 @@ def _meeting(resolve, key_type, key2_type, bits: int):
 
 def _hits(block: int):
     def resolve(held: list) -> tuple[np.ndarray, ...]:
-        kind = np.repeat([x[0] for x in held], [len(x[1]) for x in held])
+        kind = np.repeat(np.array([x[0] for x in held], np.int8), [len(x[1]) for x in held])
         doc, tag, pos, rest = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3, 4))
-        low, high = np.where(kind == _INDEX, np.iinfo(np.int64).min, doc), np.where(kind == _INDEX, np.iinfo(np.int64).max, doc)
         b = np.flatnonzero((kind == _INDEX) | (pos % block == 0))
         if not len(b):
             return doc[:0], tag[:0], pos[:0]
         b = b[np.argsort(rest[b])]
         key = rest[b]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        key, low, high = key[starts], np.minimum.reduceat(low[b], starts), np.maximum.reduceat(high[b], starts)
+        own, ends = kind[b] == _INDEX, np.iinfo(np.int64)
+        key, low, high = key[starts], np.minimum.reduceat(np.where(own, ends.min, doc[b]), starts), np.maximum.reduceat(np.where(own, ends.max, doc[b]), starts)
         at = np.minimum(np.searchsorted(key, rest), len(key) - 1)
         hit = (kind == _ASK) & (key[at] == rest) & ((low[at] != doc) | (high[at] != doc))
         return doc[hit], tag[hit], pos[hit]
@@ -356,7 +369,7 @@ def _marked(held: list) -> tuple[np.ndarray, ...]:
 
 def _cut(window: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in _some(whole, TEXT_ROWS)):
             texts, tags, found = (batch.column(i).to_pylist() for i in (2, 3, 4))
             words_n, gone_n, kept = [], [], []
             for text, tag, marks in zip(texts, tags, found, strict=True):

@@ -6,10 +6,12 @@ import hashlib
 import html
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -592,6 +594,22 @@ def test_cut_of_nothing(spark, empty):
     assert substring.repeated_substrings_cut(empty).count() == 0
 
 
+@pytest.mark.parametrize("shared", [False, True])
+def test_cut_holds_little_more_than_a_chunk(shared):
+    rng, n, size = np.random.default_rng(0), 1000, 400
+    vocabulary = [f"word{i:05d}" for i in range(20_000)]
+    texts = [" ".join(vocabulary[k] for k in rng.integers(0, len(vocabulary), size)) for _ in range(n // 2 if shared else n)]
+    batch = pa.record_batch({"doc_id": pa.array(range(n), pa.int64()), "text": pa.array(texts * 2 if shared else texts, pa.string())})
+    probe = substring._probe(50, 25, n * size, 256)
+    tracemalloc.start()
+    try:
+        entries = sum(b.num_rows for b in probe(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert entries and most < 60 * n * size  # bytes a word; hashes and positions alone take 12
+
+
 # 8: media
 
 
