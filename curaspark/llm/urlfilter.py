@@ -26,7 +26,8 @@ from curaspark.llm.common import Store
 
 #: Children of a node become one wildcard from so many on, if so many in a hundred of its urls lie in children seen once.
 MANY_CHILDREN, SINGLES_PERCENT = 20, 50
-#: Siblings are binned by block rate, so a node has at most `BINS` + 1 bins whatever its children; bins that differ by less than `SAME_Z` merge.
+#: Siblings are binned by block rate, so a node has at most `BINS` + 1 bins whatever its children; neighbouring bins merge whose
+#: siblings, with the labels that each has on average, differ by less than `SAME_Z`.
 BINS, SAME_Z = 32, 1.96
 PRIOR_WEIGHT, REJECT_RATE = 5.0, 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,9 +89,10 @@ def _steps(children: DataFrame) -> DataFrame:
     nodes = children.groupBy(*node).agg(F.count("*").alias("kids"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("singles"), F.sum("n").alias("visits"))
     nodes = nodes.select(*node, ((F.col("kids") >= MANY_CHILDREN) & (100 * F.col("singles") >= SINGLES_PERCENT * F.col("visits"))).alias("wild"))
     binned = children.withColumn("bin", F.try_divide(F.col("blocked") * BINS, F.col("labelled")).cast("int"))
-    bins = binned.where("bin is not null").groupBy(*node, "bin").agg(F.count("*").alias("kids"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    bins = binned.where("bin is not null").groupBy(*node, "bin").agg(F.count("*").alias("kids"), F.avg("labelled").alias("l"), F.avg("blocked").alias("b"))
     order = Window.partitionBy(*node).orderBy("bin")  # at most `BINS` + 1 rows a node
     l0, b0 = F.lag("l").over(order), F.lag("b").over(order)
+    # of single siblings: summed bins would part alike siblings once there are many of them
     pooled = (F.col("b") + b0) / (F.col("l") + l0)
     error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / F.col("l") + 1 / l0))
     apart = F.coalesce(F.abs(F.col("b") / F.col("l") - b0 / l0) / error >= SAME_Z, F.lit(True))
