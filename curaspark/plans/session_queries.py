@@ -79,7 +79,7 @@ def hierarchy_agglomerate(spark, sf_dir):
 def gt_trajectory(spark, sf_dir):
     s = spikes(spark, sf_dir)
     tree = merge_tree(s)
-    return state.trajectories(state.replayed(s, tree), tree, threshold=0.22, most=200)
+    return state.trajectories(state.replayed(s, tree), tree, threshold=0.22)
 
 
 @query(f"""WITH {SPIKES}, n AS (SELECT channel_id, cl, count(DISTINCT oc) AS k FROM spikes GROUP BY ALL)
