@@ -6,6 +6,7 @@ channels are curated side by side, each in one task. Decisions are a callable or
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -115,17 +116,17 @@ def replay_sheet(session: Session, sheet: Iterable[tuple[str, int, int | None]])
 
 def evaluate_student(session: Session, student: Callable[[Session, int], str], threshold: float = 0.8, merge_in_phase1: bool = True) -> list[tuple[int, str, int, int | None, str, str]]:
     """A student's action against the right one for each cluster, the right one applied: step, phase, cluster, target, both."""
-    right1, right2, out = by_purity(threshold), by_dominant(), []
-    queue, done = session.active(), set()
+    right1, out = by_purity(threshold), []
+    queue, done = deque(session.active()), set()
     while queue:
-        cluster = queue.pop(0)
+        cluster = queue.popleft()
         if cluster in done or not session.alive(cluster):
             continue
         done.add(cluster)
         gt, chosen = right1(session, cluster), student(session, cluster)
         target = None
         if gt == "KEEP" and merge_in_phase1:
-            target = next((c for c in session.active() if c != cluster and right2(session, cluster, c) == "MERGE"), None)
+            target = session.alike(cluster)  # as by_dominant() would merge
             gt = "MERGE" if target is not None else gt
         out.append((len(out), "phase1", cluster, target, gt, chosen))
         if gt == "DISCARD":
