@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from curaspark.operators import curation, extras, matching, pipelines, trains
+from curaspark.plans import unit_queries
 
 EVENTS = "channel_id long, spike_id long, t double, amp double, oc long, cl long, gt long"
 
@@ -92,3 +93,38 @@ def test_pairs_by_size_keep_the_best(spark):
     assert sorted((r.cl, r.n) for r in short.collect()) == [(1, 5), (2, 5), (3, 9), (5, 7)]
     pairs = matching.small_large_pairs(short).selectExpr("channel_id", "small", "large", "abs(n_large - 8) * -0.1D as corr")
     assert sorted((r.small, r.large) for r in curation.best_by_correlation(pairs).collect()) == [(1, 3), (2, 3)]
+
+
+def test_correlogram_of_all_clusters_without_listed_pairs(spark, trained, monkeypatch):
+    """All pairs are made where their events are: none is joined or shuffled, whatever the blocks, and they are as when listed."""
+    s, _, times, _ = trained
+    listed = [(ch, a, b) for ch, a in times for x, b in times if x == ch and a <= b]
+    wanted = sorted(map(tuple, matching.cross_correlogram(s, spark.createDataFrame(listed, "channel_id long, a long, b long"), 4.0, 5).collect()))
+    for events, clusters, step in ((1 << 18, 2048, 1 << 20), (64, 8, 100), (1, 1, 1)):
+        monkeypatch.setattr(trains, "ALL_EVENTS", events)
+        monkeypatch.setattr(trains, "ALL_CLUSTERS", clusters)
+        monkeypatch.setattr(trains, "STEP", step)
+        monkeypatch.setattr(trains, "CELLS", step)
+        monkeypatch.setattr(trains, "TASKS", 4)
+        assert sorted(map(tuple, matching.cross_correlogram(s, None, 4.0, 5).collect())) == wanted
+
+
+def test_correlogram_query_joins_no_pairs(spark):
+    plan = unit_queries.QUERIES["crosscorrelogram"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "FlatMapCoGroupsInArrow" not in plan and "a <=" not in plan
+
+
+def test_lag_bounds_are_those_of_rounding():
+    """Times on, and a rounding error off, the edges of bins, and ties."""
+    rng = np.random.default_rng(4)
+    for base in (0.0, 1.7e9, -3.0):
+        t = np.sort(base + rng.integers(0, 60, 200) / 10)
+        u = np.sort(np.concatenate([t[:100] + 0.05, np.nextafter(t + 0.1, -np.inf), np.nextafter(t + 0.1, np.inf), t[::2] - 0.3]))
+        distinct, starts = np.unique(u, return_index=True)
+        got = trains.lag_bounds(t, distinct, np.append(starts, len(u)), 0.3, 3)
+        d = u[None, :] - t[:, None]
+        x = d / (0.3 / 3)
+        whole = np.trunc(x)
+        place = whole + np.where(np.abs(x - whole) >= 0.5, np.sign(x), 0) + 3
+        place = np.where(d < -0.3, -1, np.where(d > 0.3, 7, np.clip(place, 0, 6)))
+        assert (got == [[int((row < i).sum()) for i in range(8)] for row in place]).all()
